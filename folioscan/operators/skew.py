@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,12 +66,14 @@ def key_quantiles(rows: DataFrame, key: str, value: str, fractions: tuple[float,
     with the rank and ends for a key once that bin holds one distinct value.
     No value of a hot key is gathered; a round moves at most bins + 2 partial
     rows per key, fraction and task. Null keys, and null or NaN values, are left out;
-    a key without values gives no row. Repeated rows count each time.
+    infinite values count as the largest finite number of their sign; a key
+    without values gives no row. Repeated rows count each time.
     """
-    data = (
-        rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-        .where(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+    most = sys.float_info.max
+    data = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(
+        F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v")
     )
+    data = data.withColumn("v", F.greatest(F.lit(-most), F.least(F.lit(most), F.col("v"))))
     bounds = data.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     wanted = bounds.select(
         "k", "n", "lo", "hi", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("f")
@@ -84,8 +87,10 @@ def key_quantiles(rows: DataFrame, key: str, value: str, fractions: tuple[float,
         step = F.col("hi") / bins - F.col("lo") / bins
         spot = F.floor((F.col("v") / step) - (F.col("lo") / step)).cast("long")
         inside = data.join(open_, "k").where("v >= lo and v <= hi")
-        spot = F.when(step > 0, F.greatest(F.lit(0), F.least(F.lit(bins - 1), spot))).otherwise(
-            F.when(F.col("v") == F.col("lo"), F.lit(0)).otherwise(F.lit(1))
+        spot = (
+            F.when(F.col("v") == F.col("lo"), F.lit(0))
+            .when(F.col("v") == F.col("hi"), F.lit(bins - 1))
+            .otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), spot)))
         )
         hist = (
             inside.withColumn("b", spot)
