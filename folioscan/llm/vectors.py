@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,8 @@ FIT_ROWS = 20_000
 CELL_ROWS = 500
 BLOCK_ROWS = 4_000
 MAX_CELLS = 4_096
+#: What the 8-bit steps of two vectors may take from their cosine.
+STEP_ERROR = 0.02
 
 
 def usable(v: Column, dims: int) -> Column:
@@ -33,6 +36,22 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _to_binary(rows: np.ndarray) -> pa.Array:
+    """A binary column with the bytes of each row."""
+    flat = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def _from_binary(column: pa.Array, width: int, dtype: type) -> np.ndarray:
+    """The rows of a binary column without nulls, all of one width."""
+    if not len(column):
+        return np.empty((0, width), dtype)
+    wide = column.type == pa.large_binary()
+    at = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype)[at[0] : at[-1]].reshape(-1, width)
+
+
 class Codebooks:
     """A coarse codebook, whose codeword is also a vector's cell, and residual codebooks, all of full dimension and added up."""
 
@@ -168,10 +187,10 @@ class VectorIndex:
                             batch.column("id"),
                             batch.column("h"),
                             pa.array(codes[:, 0].astype(np.int32)),
-                            pa.array([c.tobytes() for c in codes[:, 1:].astype(np.uint8)], pa.binary()),
+                            _to_binary(codes[:, 1:].astype(np.uint8)),
                             pa.array(np.linalg.norm(near, axis=1).astype(np.float32)),
                             pa.array(own.astype(np.float32)),
-                            pa.array([s.tobytes() for s in steps], pa.binary()),
+                            _to_binary(steps),
                         ],
                         names=["id", "h", "cell", "codes", "norm", "own", "q"],
                     )
@@ -181,10 +200,11 @@ class VectorIndex:
             self._encoded = durable(coded.join(self.reps.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]), "codes")
         return self._encoded
 
-    def candidates(self, queries: DataFrame | None, probes: int, per_cell: int, least: float | None) -> DataFrame:
+    def candidates(self, queries: DataFrame | None, probes: int, per_cell: int, least: float | None, margin: float = 0.0) -> DataFrame:
         """(a, b, score): for query ids (all if None), vectors of the probed cells by estimated cosine.
 
-        With least, all whose estimate is at least that; else the per_cell best of every cell and block.
+        With least, all whose table score lets at least that be possible (within
+        margin) and whose 8-bit steps agree; else the per_cell best of every cell and block by table score.
         """
         coded = self.encoded()
         asked = coded if queries is None else coded.join(queries.select("id").distinct(), "id", "left_semi")
@@ -199,7 +219,7 @@ class VectorIndex:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                steps = np.frombuffer(b"".join(batch.column("q").to_pylist()), dtype=np.int8).reshape(-1, dims).astype(np.float32)
+                steps = _from_binary(batch.column("q"), dims, np.int8).astype(np.float32)
                 steps /= np.linalg.norm(steps, axis=1, keepdims=True)
                 cell = shared.value.probes(steps, probes)
                 row = np.repeat(np.arange(len(steps)), cell.shape[1])
@@ -224,7 +244,7 @@ class VectorIndex:
         if heavy:
             by_cell = F.create_map(*[F.lit(x) for c in heavy for x in (c, int(blocks[c]))])
             part = F.pmod(F.xxhash64("id"), F.coalesce(by_cell[F.col("cell")], F.lit(1))).cast("int")
-        base = coded.select("cell", part.alias("part"), "id", "codes", "norm", "own", F.lit(None).cast("binary").alias("q"))
+        base = coded.select("cell", part.alias("part"), "id", "codes", "norm", "own", "q")
         empty = F.lit(None)
         probe = asked.select("id", "q").mapInArrow(reach, "cell int, part int, id long, q binary").select(
             "cell", "part", "id", empty.cast("binary").alias("codes"), empty.cast("float").alias("norm"), empty.cast("float").alias("own"), "q"
@@ -232,28 +252,34 @@ class VectorIndex:
 
         def score(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell = key[0].as_py()
-            base_id, base_code, base_norm, base_own, query_id, query = [], [], [], [], [], []
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
             for batch in batches:
-                is_query = np.array(batch.column("q").is_valid())
-                q, b = batch.filter(pa.array(is_query)), batch.filter(pa.array(~is_query))
-                base_id.append(b.column("id").to_numpy())
-                base_code.append(np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(-1, books))
-                base_norm.append(b.column("norm").to_numpy(zero_copy_only=False))
-                base_own.append(b.column("own").to_numpy(zero_copy_only=False))
-                query_id.append(q.column("id").to_numpy())
-                query.append(np.frombuffer(b"".join(q.column("q").to_pylist()), np.int8).reshape(-1, dims))
-            ids, codes = np.concatenate(base_id), np.concatenate(base_code)
-            norm, own = np.concatenate(base_norm), np.concatenate(base_own)
-            asks, steps = np.concatenate(query_id), np.concatenate(query)
+                stored = batch.column("codes").is_valid()
+                b, q = batch.filter(stored), batch.filter(pc.invert(stored))
+                columns = (
+                    b.column("id").to_numpy(),
+                    _from_binary(b.column("codes"), books, np.uint8),
+                    b.column("norm").to_numpy(zero_copy_only=False),
+                    b.column("own").to_numpy(zero_copy_only=False),
+                    _from_binary(b.column("q"), dims, np.int8),
+                    q.column("id").to_numpy(),
+                    _from_binary(q.column("q"), dims, np.int8),
+                )
+                for part, column in zip(parts, columns):
+                    part.append(column)
+            ids, codes, norm, own, kept, asks, steps = (np.concatenate(p) for p in parts)
+            kept = kept.astype(np.float32)
+            kept /= np.maximum(np.linalg.norm(kept, axis=1, keepdims=True), 1e-6)
             for at in range(0, len(asks) if len(ids) else 0, 1024):
                 x = steps[at : at + 1024].astype(np.float32)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 dots = shared.value.table_scores(x, cell, codes)
                 if least is not None:
                     # dot / own is the cosine but for noise across x; own is near norm squared for a good code.
-                    guess = dots / np.maximum(own, 1e-6)
-                    i, j = np.nonzero(guess >= least)
-                    value = guess[i, j]
+                    i, j = np.nonzero(dots >= (least - margin) * own)
+                    value = np.einsum("ij,ij->i", x[i], kept[j])
+                    near = value >= least - STEP_ERROR
+                    i, j, value = i[near], j[near], value[near]
                 else:
                     guess = dots / np.maximum(norm, 1e-6)
                     k = min(per_cell, guess.shape[1])
@@ -320,7 +346,7 @@ class VectorIndex:
 
         A pair is found when either side's cell is among those the other probes.
         """
-        met = self.candidates(None, probes, 0, least - margin)
+        met = self.candidates(None, probes, 0, least, margin)
         pairs = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         exact = self.exact(pairs).where(F.col("cosine") >= least)
         both = durable(exact, "close-pairs")
