@@ -15,9 +15,13 @@ from folioscan.runtime import durable
 
 #: Vectors, at most, on which the codebooks are fitted. All vectors are encoded and searched.
 FIT_ROWS = 20_000
-#: Vectors of a cell on average, and the most that one task scores together; a fuller cell is cut into blocks.
+#: Vectors of a cell on average, and the most that one task scores together. A fuller cell is cut by the first residual
+#: codeword, of which a query then tries SUB_PROBES, and what is fuller still into blocks, of which it tries all.
 CELL_ROWS = 500
 BLOCK_ROWS = 4_000
+SUB_PROBES = 12
+#: Queries that one task scores against a cell; a cell that more queries try is sent to several tasks.
+QUERY_ROWS = 50_000
 MAX_CELLS = 4_096
 #: What the 8-bit steps of two vectors may take from their cosine.
 STEP_ERROR = 0.02
@@ -131,6 +135,13 @@ class Codebooks:
         count = min(count, score.shape[1])
         return np.argpartition(-score, count - 1, axis=1)[:, :count]
 
+    def word_probes(self, left: np.ndarray, count: int) -> np.ndarray:
+        """The nearest codewords of the first residual codebook to residuals."""
+        book = self.books[0]
+        score = left @ book.T - 0.5 * (book**2).sum(1)
+        count = min(count, len(book))
+        return np.argpartition(-score, count - 1, axis=1)[:, :count]
+
     def table_scores(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Dot products of queries with the encoded vectors of one cell, by tables of each query with each codeword."""
         total = np.repeat((queries @ self.coarse[cell])[:, None], len(codes), axis=1)
@@ -169,7 +180,7 @@ class VectorIndex:
         self._encoded: DataFrame | None = None
 
     def encoded(self) -> DataFrame:
-        """(id, h, cell, codes, norm, own, q): codes as bytes, the length of the decoded vector, its dot product with the vector, and the vector in 8-bit steps."""
+        """(id, h, cell, word, codes, norm, own, q): codes as bytes, word the first of them, the length of the decoded vector, its dot product with the vector, and the vector in 8-bit steps."""
         if self._encoded is None:
             shared, dims = self.shared, self.dims
 
@@ -187,15 +198,16 @@ class VectorIndex:
                             batch.column("id"),
                             batch.column("h"),
                             pa.array(codes[:, 0].astype(np.int32)),
+                            pa.array(codes[:, 1].astype(np.int32)),
                             _to_binary(codes[:, 1:].astype(np.uint8)),
                             pa.array(np.linalg.norm(near, axis=1).astype(np.float32)),
                             pa.array(own.astype(np.float32)),
                             _to_binary(steps),
                         ],
-                        names=["id", "h", "cell", "codes", "norm", "own", "q"],
+                        names=["id", "h", "cell", "word", "codes", "norm", "own", "q"],
                     )
 
-            schema = "id long, h long, cell int, codes binary, norm float, own float, q binary"
+            schema = "id long, h long, cell int, word int, codes binary, norm float, own float, q binary"
             coded = self.source.mapInArrow(run, schema)
             self._encoded = durable(coded.join(self.reps.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]), "codes")
         return self._encoded
@@ -208,46 +220,85 @@ class VectorIndex:
         """
         coded = self.encoded()
         asked = coded if queries is None else coded.join(queries.select("id").distinct(), "id", "left_semi")
-        shared, dims, books = self.shared, self.dims, len(self.books.books)
-        sizes = {r["cell"]: r["n"] for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        blocks = np.ones(self.cells + 1, dtype=np.int64)
-        for cell, n in sizes.items():
-            blocks[cell] = -(-n // BLOCK_ROWS)
-        docs_blocks = coded.sparkSession.sparkContext.broadcast(blocks)
+        shared, dims, books, cells, size = self.shared, self.dims, len(self.books.books), self.cells, self.books.books.shape[1]
+        # Sizes by cell, and by codeword within full cells: at most MAX_CELLS times the codebook's size numbers.
+        rows = F.count(F.lit(1)).alias("n")
+        full = {r["cell"] for r in coded.groupBy("cell").agg(rows).where(F.col("n") > BLOCK_ROWS).collect()}
+        words = coded.where(F.col("cell").isin(sorted(full))).groupBy("cell", "word").agg(rows).collect() if full else []
+        layout = [(r["cell"], r["word"], -(-r["n"] // BLOCK_ROWS)) for r in words]
+        blocks = {(c, w): n for c, w, n in layout}
+        plan = coded.sparkSession.sparkContext.broadcast((np.array([c in full for c in range(cells + 1)]), blocks))
+
+        def places(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Query row, cell and codeword (-1 for a whole cell) of everything the queries try."""
+            is_full = plan.value[0]
+            cell = shared.value.probes(steps, probes)
+            row, cell = np.repeat(np.arange(len(steps)), cell.shape[1]), cell.ravel()
+            deep = is_full[cell]
+            word = np.full(len(row), -1)
+            if not deep.any():
+                return row, cell, word
+            inner = shared.value.word_probes(steps[row[deep]] - shared.value.coarse[cell[deep]], SUB_PROBES)
+            wide = inner.shape[1]
+            return (
+                np.concatenate([row[~deep], np.repeat(row[deep], wide)]),
+                np.concatenate([cell[~deep], np.repeat(cell[deep], wide)]),
+                np.concatenate([word[~deep], inner.ravel()]),
+            )
+
+        def unit_steps(batch: pa.RecordBatch) -> np.ndarray:
+            steps = _from_binary(batch.column("q"), dims, np.int8).astype(np.float32)
+            return steps / np.linalg.norm(steps, axis=1, keepdims=True)
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((cells + 1, size + 1), dtype=np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    _, cell, word = places(unit_steps(batch))
+                    np.add.at(total, (cell, word), 1)
+            cell, word = np.nonzero(total)
+            cols = [pa.array(x.astype(np.int32)) for x in (cell, np.where(word == size, -1, word))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total[cell, word])], names=["cell", "word", "n"])
+
+        tries = asked.select("q").mapInArrow(tally, "cell int, word int, n long").groupBy("cell", "word").agg(F.sum("n").alias("n"))
+        splits = {(r["cell"], r["word"]): -(-r["n"] // QUERY_ROWS) for r in tries.where(F.col("n") > QUERY_ROWS).collect()}
+        split = coded.sparkSession.sparkContext.broadcast(splits)
 
         def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            many = plan.value[1]
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                steps = _from_binary(batch.column("q"), dims, np.int8).astype(np.float32)
-                steps /= np.linalg.norm(steps, axis=1, keepdims=True)
-                cell = shared.value.probes(steps, probes)
-                row = np.repeat(np.arange(len(steps)), cell.shape[1])
-                cell = cell.ravel()
-                # A query goes to every block of a fuller cell; which of the query blocks it is in there follows from its id.
-                many = docs_blocks.value[cell]
-                row, part = np.repeat(row, many), np.concatenate([np.arange(m) for m in many]) if len(many) else row
-                cell = np.repeat(cell, many)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cell.astype(np.int32)),
-                        pa.array(part.astype(np.int32)),
-                        batch.column("id").take(take),
-                        batch.column("q").take(take),
-                    ],
-                    names=["cell", "part", "id", "q"],
-                )
-
-        heavy = [int(c) for c in np.flatnonzero(blocks > 1)]
-        part = F.lit(0)
-        if heavy:
-            by_cell = F.create_map(*[F.lit(x) for c in heavy for x in (c, int(blocks[c]))])
-            part = F.pmod(F.xxhash64("id"), F.coalesce(by_cell[F.col("cell")], F.lit(1))).cast("int")
-        base = coded.select("cell", part.alias("part"), "id", "codes", "norm", "own", "q")
+                row, cell, word = places(unit_steps(batch))
+                keys = list(zip(cell.tolist(), word.tolist()))
+                count = np.array([1 if w < 0 else many.get((c, w), 0) for c, w in keys], dtype=np.int64)
+                turn = np.zeros(len(row), dtype=np.int64)
+                if split.value:
+                    turn = row % np.array([split.value.get(k, 1) for k in keys])
+                part = np.concatenate([np.arange(n) for n in count]) if (count != 1).any() else np.zeros(len(row), dtype=np.int64)
+                cols = [pa.array(np.repeat(x, count).astype(np.int32)) for x in (cell, word)]
+                take = pa.array(np.repeat(row, count))
+                cols += [pa.array(part.astype(np.int32)), pa.array(np.repeat(turn, count).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*cols, batch.column("id").take(take), batch.column("q").take(take)], names=["cell", "word", "part", "turn", "id", "q"])
+
+        base = coded.withColumn("part", F.lit(0))
+        if layout:
+            cuts = coded.sparkSession.createDataFrame(layout, "cell int, word int, blocks int")
+            base = coded.join(F.broadcast(cuts), ["cell", "word"], "left")
+            base = base.withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0)))
+            base = base.withColumn("word", F.when(F.col("blocks").isNull(), -1).otherwise(F.col("word")))
+        else:
+            base = base.withColumn("word", F.lit(-1))
+        if splits:
+            turns = coded.sparkSession.createDataFrame([(c, w, n) for (c, w), n in splits.items()], "cell int, word int, turns int")
+            base = base.join(F.broadcast(turns), ["cell", "word"], "left")
+            base = base.withColumn("turn", F.explode(F.sequence(F.lit(0), F.coalesce("turns", F.lit(1)) - 1)))
+        else:
+            base = base.withColumn("turn", F.lit(0))
+        base = base.select("cell", "word", "part", "turn", "id", "codes", "norm", "own", "q")
         empty = F.lit(None)
-        probe = asked.select("id", "q").mapInArrow(reach, "cell int, part int, id long, q binary").select(
-            "cell", "part", "id", empty.cast("binary").alias("codes"), empty.cast("float").alias("norm"), empty.cast("float").alias("own"), "q"
+        probe = asked.select("id", "q").mapInArrow(reach, "cell int, word int, part int, turn int, id long, q binary").select(
+            "cell", "word", "part", "turn", "id", empty.cast("binary").alias("codes"), empty.cast("float").alias("norm"), empty.cast("float").alias("own"), "q"
         )
 
         def score(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +343,7 @@ class VectorIndex:
                     [pa.array(a[keep]), pa.array(b[keep]), pa.array(value[keep].astype(np.float32))], names=["a", "b", "score"]
                 )
 
-        return base.unionByName(probe).groupBy("cell", "part").applyInArrow(score, "a long, b long, score float")
+        return base.unionByName(probe).groupBy("cell", "word", "part", "turn").applyInArrow(score, "a long, b long, score float")
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """(a, b, cosine) of pairs (a, b) of searched ids, from the stored vectors."""
