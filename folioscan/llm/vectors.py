@@ -23,6 +23,8 @@ SUB_PROBES = 12
 #: Queries that one task scores against a cell; a cell that more queries try is sent to several tasks.
 QUERY_ROWS = 50_000
 MAX_CELLS = 4_096
+#: Vectors of a cell that a query looks at in 8-bit steps after table scoring.
+SCREEN = 256
 #: What the 8-bit steps of two vectors may take from their cosine.
 STEP_ERROR = 0.02
 
@@ -212,11 +214,13 @@ class VectorIndex:
             self._encoded = durable(coded.join(self.reps.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]), "codes")
         return self._encoded
 
-    def candidates(self, queries: DataFrame | None, probes: int, per_cell: int, least: float | None, margin: float = 0.0) -> DataFrame:
+    def candidates(
+        self, queries: DataFrame | None, probes: int, per_cell: int, least: float | None, margin: float = 0.0, screen: int = SCREEN
+    ) -> DataFrame:
         """(a, b, score): for query ids (all if None), vectors of the probed cells by estimated cosine.
 
         With least, all whose table score lets at least that be possible (within
-        margin) and whose 8-bit steps agree; else the per_cell best of every cell and block by table score.
+        margin) and whose 8-bit steps agree; else, of the screen best of every cell and block by table score, the per_cell best by those steps.
         """
         coded = self.encoded()
         asked = coded if queries is None else coded.join(queries.select("id").distinct(), "id", "left_semi")
@@ -332,11 +336,14 @@ class VectorIndex:
                     near = value >= least - STEP_ERROR
                     i, j, value = i[near], j[near], value[near]
                 else:
-                    guess = dots / np.maximum(norm, 1e-6)
-                    k = min(per_cell, guess.shape[1])
-                    j = np.argpartition(-guess, k - 1, axis=1)[:, :k]
+                    # A codeword sum is about the mean of its vectors, so dot is the best guess of the cosine; the best by it are looked at in 8-bit steps.
+                    wide = min(screen, dots.shape[1])
+                    j = np.argpartition(-dots, wide - 1, axis=1)[:, :wide]
+                    fine = np.stack([kept[row] @ q for row, q in zip(j, x)])
+                    k = min(per_cell, wide)
+                    best = np.argpartition(-fine, k - 1, axis=1)[:, :k]
+                    value, j = np.take_along_axis(fine, best, 1).ravel(), np.take_along_axis(j, best, 1).ravel()
                     i = np.repeat(np.arange(len(x)), k)
-                    value, j = np.take_along_axis(guess, j, 1).ravel(), j.ravel()
                 a, b = asks[at + i], ids[j]
                 keep = a != b
                 yield pa.RecordBatch.from_arrays(
@@ -378,8 +385,12 @@ class VectorIndex:
         best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
         return apart.unionByName(same).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    def nearest(self, k: int = 10, queries: DataFrame | None = None, probes: int = 12, per_cell: int = 32, rerank: int = 96) -> DataFrame:
-        """(id, other, cosine, rank): the k most similar vectors of every query id, or of all, after exact reranking."""
+    def nearest(self, k: int = 10, queries: DataFrame | None = None, probes: int | None = None, per_cell: int = 24, rerank: int = 40) -> DataFrame:
+        """(id, other, cosine, rank): the k most similar vectors of every query id, or of all, after exact reranking.
+
+        Tries 0.9 times the root of the number of cells, 16 at least, unless told otherwise.
+        """
+        probes = probes or max(16, round(0.9 * self.cells**0.5))
         reps = None
         if queries is not None:
             asked_h = self.ids.join(queries.select("id").distinct(), "id", "left_semi").select("h").distinct()
@@ -392,11 +403,13 @@ class VectorIndex:
         near = exact.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
         return self._expand(durable(near, "neighbours"), k, queries)
 
-    def close(self, least: float, k: int = 10, probes: int = 4, margin: float = 0.15) -> DataFrame:
+    def close(self, least: float, k: int = 10, probes: int | None = None, margin: float = 0.15) -> DataFrame:
         """(id, other, cosine, rank): of the k most similar vectors of every id those with a cosine of at least least.
 
-        A pair is found when either side's cell is among those the other probes.
+        A pair is found when either side's cell is among those the other
+        probes: the fourth root of the number of cells, 4 at least, unless told otherwise.
         """
+        probes = probes or max(4, round(self.cells**0.25))
         met = self.candidates(None, probes, 0, least, margin)
         pairs = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         exact = self.exact(pairs).where(F.col("cosine") >= least)
