@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 8 << 20
 
 _local_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -53,8 +54,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[key]
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process has written. Frames that read them are of no use afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 @atexit.register
-def _remove_local_dirs() -> None:
+def _clean() -> None:
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None:
+        try:
+            release(spark)
+        except Exception:  # the session may be half down at exit
+            pass
     for path in _local_dirs.values():
         shutil.rmtree(path, ignore_errors=True)
 
@@ -67,6 +82,7 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
