@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from folioscan.functions import text as T
 from folioscan.operators.indexing import Index
-from folioscan.operators.search import SearchOptions, _weighted, candidates, known_terms
+from folioscan.operators.search import SearchOptions, _weighted, candidates, first_of, known_terms
+from folioscan.runtime import broadcast_if_small, durable
 
 #: Neighbouring order values whose rows one task adds up.
 _BUCKET = 4096
@@ -30,6 +31,7 @@ def rag_select(
     """
     o = SearchOptions(no_filter=True, max_candidates=max(2000, top_papers * chunks_per_paper * 20), most_candidates=1 << 30)
     vectors = _weighted(known_terms(index, queries, o).where("token_id is not null"), index.n_chunks, 12, None)
+    vectors = broadcast_if_small(durable(vectors, "query-vectors"), 96)
     where = index.chunks.select("chunk_id", "paper_id").join(index.papers.select("paper_id", "arxiv_id"), "paper_id", "left")
     if client_papers is None:
         found = candidates(index, vectors, o).join(where, "chunk_id")
@@ -38,9 +40,7 @@ def rag_select(
         chosen = client_papers.groupBy("query_id", "arxiv_id").agg(F.min("pos").alias("_pos"))
         hits = index.postings.join(vectors.where("chosen").select("query_id", "token_id"), "token_id").join(where, "chunk_id")
         counts = hits.join(chosen, ["query_id", "arxiv_id"]).groupBy("query_id", "chunk_id", "paper_id", "arxiv_id", "_pos")
-        counts = counts.agg(F.count(F.lit(1)).alias("matches"))
-        best = Window.partitionBy("query_id").orderBy(F.col("matches").desc(), "chunk_id")
-        found = counts.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= o.max_candidates).drop("_r")
+        found = first_of(counts.agg(F.count(F.lit(1)).alias("matches")), o.max_candidates)
         first = F.col("_pos")
     q = Window.partitionBy("query_id")
     ordered = found.withColumn("_o", F.row_number().over(q.orderBy(F.col("matches").desc(), "chunk_id"))).withColumn("_first", first)
@@ -108,14 +108,21 @@ def paper_texts(index: Index, max_chars: int) -> DataFrame:
     return joined.join(total, "paper_id").select("paper_id", F.substring(F.array_join("t.text", "\n\n"), 1, max_chars).alias("text"), "total_chars")
 
 
-def chat_context(index: Index, attached: DataFrame, token_budget: int = 6000, latex: DataFrame | None = None) -> DataFrame:
+def full_paper_context(index: Index, wanted: DataFrame, token_budget: int = 6000, latex: DataFrame | None = None) -> DataFrame:
+    """(query_id, paper_rank, arxiv_id, mode, sent, sent_chars, total_chars, truncated): whole papers of queries, wanted (query_id, paper_rank, arxiv_id), in order and within budget."""
+    rows = wanted.select(F.col("query_id").alias("session_id"), F.col("paper_rank").alias("seq"), "arxiv_id")
+    out = chat_context(index, rows, token_budget, latex, 0)
+    return out.withColumnRenamed("session_id", "query_id").withColumnRenamed("seq", "paper_rank")
+
+
+def chat_context(index: Index, attached: DataFrame, token_budget: int = 6000, latex: DataFrame | None = None, least_chars: int = 1000) -> DataFrame:
     """(session_id, seq, arxiv_id, mode, sent, sent_chars, total_chars, truncated) of papers attached to sessions.
 
     attached is (session_id, seq, arxiv_id), latex (arxiv_id, text). A paper's
     LaTeX comes first, else all its chunks; a paper without text is left out.
-    The budget is four characters a token, 1,000 at least.
+    The budget is four characters a token, least_chars at least.
     """
-    budget = max(1000, 4 * token_budget)
+    budget = max(least_chars, 4 * token_budget)
     ids = index.papers.groupBy("arxiv_id").agg(F.min("paper_id").alias("paper_id"))
     wanted = attached.select("session_id", "seq", "arxiv_id").join(ids, "arxiv_id", "left")
     chunks = paper_texts(index, budget).withColumnRenamed("text", "chunk_text").withColumnRenamed("total_chars", "chunk_chars")

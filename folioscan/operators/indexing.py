@@ -48,6 +48,11 @@ class Index:
         self.postings.repartitionByRange("token_id", "chunk_id").sortWithinPartitions("token_id", "chunk_id").write.parquet(f"{path}/postings")
         spark.createDataFrame([(self.n_chunks, self.avgdl)], "n_chunks long, avgdl double").coalesce(1).write.parquet(f"{path}/stats")
 
+    def register(self, prefix: str = "") -> None:
+        """Temporary views of the four tables for SQL."""
+        for name in self.tables:
+            getattr(self, name).createOrReplaceTempView(prefix + name)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         n, avgdl = spark.read.parquet(f"{path}/stats").first()

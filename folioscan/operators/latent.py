@@ -10,9 +10,8 @@ from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from folioscan.operators.indexing import Index, idf
+from folioscan.operators.indexing import Index, dense_ids, idf
 from folioscan.runtime import broadcast_if_small, durable
 
 
@@ -27,7 +26,7 @@ def weighted_postings(index: Index) -> DataFrame:
 def svd_columns(index: Index) -> DataFrame:
     """(token_id, col): tokens with postings, numbered from 0 in the order of their id."""
     used = index.tokens.where("df > 0").select("token_id")
-    return used.withColumn("col", F.row_number().over(Window.orderBy("token_id")) - 1)
+    return dense_ids(used, ["token_id"], "col").withColumn("col", F.col("col") - 1)
 
 
 def fit_svd(index: Index, k: int = 128, fit_rows: int = 100_000) -> DataFrame:

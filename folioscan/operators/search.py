@@ -11,9 +11,12 @@ from pyspark.sql.window import Window
 from folioscan.functions import hints
 from folioscan.functions import text as T
 from folioscan.operators.indexing import Index, idf
+from folioscan.runtime import broadcast_if_small, durable
 
 #: Decimals to which scores are rounded before ranking, so that order does not hang on the order of additions.
 RANK_DECIMALS = 9
+#: Parts in which the matches of one query are cut down to its candidates.
+SPREAD = 32
 
 
 @dataclass(frozen=True)
@@ -136,9 +139,20 @@ def candidates(index: Index, vectors: DataFrame, o: SearchOptions) -> DataFrame:
     if kind is not None:
         hits = hits.join(kind, "chunk_id", "left_semi")
     counts = hits.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matches"))
-    order = Window.partitionBy("query_id").orderBy(F.col("matches").desc(), "chunk_id")
-    ranked = counts.withColumn("_r", F.row_number().over(order))
-    return ranked.where((F.col("_r") > o.offset) & (F.col("_r") <= o.offset + o.max_candidates)).drop("_r")
+    return first_of(counts, o.offset + o.max_candidates, o.offset)
+
+
+def first_of(counts: DataFrame, upto: int, after: int = 0) -> DataFrame:
+    """Rows of counts (query_id, chunk_id, matches, ...) at the places after + 1 to upto of their query.
+
+    A query that matches much of the collection is first cut in SPREAD parts side by side, so its last task gets
+    at most SPREAD * upto rows.
+    """
+    order = [F.col("matches").desc(), F.col("chunk_id")]
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))
+    local = counts.withColumn("_s", part).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_s").orderBy(*order)))
+    ranked = local.where(F.col("_r") <= upto).drop("_s").withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.where((F.col("_r") > after) & (F.col("_r") <= upto)).drop("_r")
 
 
 def bm25_idf(n_chunks: int, df: Column) -> Column:
@@ -219,7 +233,8 @@ def search(index: Index, queries: DataFrame, options: SearchOptions | None = Non
     embeddings) for the latent re-ranking.
     """
     o = (options or SearchOptions()).clamped()
-    vectors = query_vectors(index, queries, o)
+    # The terms of a batch of queries are few; sent to the postings, these need no shuffle before they are cut down.
+    vectors = broadcast_if_small(durable(query_vectors(index, queries, o), "query-vectors"), 96)
     ranked = rank(score(index, vectors, candidates(index, vectors, o), o), o)
     if o.svd and latent is not None:
         ranked = blend_latent(ranked, latent[0], latent[1], o)

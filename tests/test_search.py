@@ -126,6 +126,14 @@ def test_paper_texts_and_sessions(spark, index):
     assert (dump.full, dump.chars, dump.truncated) == ("zzzzz", 2000, True)
 
 
+def test_full_papers_and_sql(spark, index):
+    wanted = spark.createDataFrame([(0, 1, "0705.0002"), (0, 2, "0704.0001v1")], "query_id long, paper_rank int, arxiv_id string")
+    rows = C.full_paper_context(index, wanted, 12).orderBy("paper_rank").collect()
+    assert [(r.arxiv_id, r.sent_chars, r.truncated) for r in rows] == [("0705.0002", 41, False), ("0704.0001v1", 7, True)]
+    index.register("ix_")
+    assert spark.sql("select count(*) from ix_postings join ix_tokens using (token_id) where term = 'compact'").first()[0] == 4
+
+
 def test_latent(spark, index):
     components = L.fit_svd(index, 3)
     assert components.count() == index.tokens.count()
