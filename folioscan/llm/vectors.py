@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscan.runtime import durable
+from folioscan.runtime import broadcast_if_small, durable
 
 #: Vectors, at most, on which the codebooks are fitted. All vectors are encoded and searched.
 FIT_ROWS = 20_000
@@ -355,7 +355,10 @@ class VectorIndex:
     def exact(self, pairs: DataFrame) -> DataFrame:
         """(a, b, cosine) of pairs (a, b) of searched ids, from the stored vectors."""
         dims = self.dims
-        picked = self.source.join(self.reps.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "v")
+        # Only vectors in a pair are read on; if their ids are few they go to the vectors, else both are shuffled.
+        named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.reps.select("id", "h"), "id")
+        named = broadcast_if_small(durable(named, "pair-ids"), 48)
+        picked = durable(self.source.join(named, ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "v"), "pair-vectors")
         left = picked.select(F.col("id").alias("a"), F.col("v").alias("va"))
         right = picked.select(F.col("id").alias("b"), F.col("v").alias("vb"))
 
