@@ -162,13 +162,14 @@ def bm25_idf(n_chunks: int, df: Column) -> Column:
 def score(index: Index, vectors: DataFrame, found: DataFrame, o: SearchOptions) -> DataFrame:
     """(query_id, chunk_id, paper_id, kind, cosine, bm25) of candidates.
 
-    Postings meet the query terms first (few rows when terms are rare), then
-    the candidates, and are summed once for both scores. Texts stay out of it.
+    Candidates, the smaller side, get their chunk's facts; postings meet the
+    query terms, then the candidates by query and chunk, and are summed in that
+    partitioning once for both scores. Texts stay out of it.
     """
-    hits = index.postings.join(vectors.select("query_id", "token_id", "df", "idf", "q"), "token_id")
-    hits = hits.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"])
     facts = index.chunks.select("chunk_id", "paper_id", "kind", "norm", "dl")
-    rows = hits.join(facts, "chunk_id")
+    wanted = found.select("query_id", "chunk_id").join(facts, "chunk_id")
+    hits = index.postings.join(vectors.select("query_id", "token_id", "df", "idf", "q"), "token_id")
+    rows = hits.join(wanted, ["query_id", "chunk_id"])
     tf, avgdl = F.col("tf"), max(index.avgdl, 1e-12)
     saturated = (o.k1 + 1) * tf / (tf + o.k1 * (1 - o.b + o.b * F.col("dl") / avgdl))
     sums = rows.groupBy("query_id", "chunk_id", "paper_id", "kind", "norm").agg(

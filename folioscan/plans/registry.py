@@ -16,7 +16,7 @@ from folioscan.operators import search as S
 from folioscan.operators.indexing import Index, index_from_chunks, index_from_tables, paper_vocabulary, per_paper_tfidf, unique_papers
 from folioscan.operators.skew import heavy_keys, key_quantiles, key_statistics
 from folioscan.plans import sql
-from folioscan.runtime import durable, table
+from folioscan.runtime import durable, generation, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,8 +26,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+_built: dict[tuple, Index] = {}
+
+
 def index(spark: SparkSession, d: str) -> Index:
-    return index_from_tables(*(table(spark, d, t) for t in ("paper", "chunk", "token", "posting")))
+    """The index of the tables in d, built once a session, as a search service would keep it."""
+    key = (*generation(spark), d)
+    if key not in _built:
+        _built[key] = index_from_tables(*(table(spark, d, t) for t in ("paper", "chunk", "token", "posting")))
+    return _built[key]
 
 
 def titles(ix: Index) -> DataFrame:
@@ -77,6 +84,12 @@ def papers_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.paper_chunk_counts(index(spark, d))
 
 
+@query
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """A build from scratch each time: its postings."""
+    return index_from_tables(*(table(spark, d, t) for t in ("paper", "chunk", "token", "posting"))).postings
+
+
 @query
 def token_df(spark: SparkSession, d: str) -> DataFrame:
     return index(spark, d).tokens

@@ -148,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "collection_counts": " union all ".join(f"select '{t}' as name, count(*) as rows from {t}" for t in ("token", "paper", "chunk", "posting")),
         "papers_chunk_counts": f"with {INDEX} select pap.paper_id, pap.arxiv_id, count(c.chunk_id) as chunks from pap left join chk c using (paper_id) group by 1, 2",
+        "index_build": f"with {INDEX} select token_id, chunk_id, tf from post",
         "token_df": f"with {INDEX} select token_id, term, df from tok",
         "chunk_norms": f"with {INDEX} select chunk_id, round(norm, 6) as norm, dl from chk",
         "corpus_stats": f"with {INDEX} select n::bigint as n_chunks, round(avgdl, 6) as avgdl from st",

@@ -16,6 +16,7 @@ BROADCAST_LIMIT_BYTES = 8 << 20
 
 _local_dirs: dict[str, str] = {}
 _written: list[str] = []
+_releases = 0
 
 
 def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -56,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables that this process has written. Frames that read them are of no use afterwards."""
+    global _releases
+    _releases += 1
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
@@ -74,6 +77,11 @@ def _clean() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def generation(spark: SparkSession) -> tuple[str, int]:
+    """A key that holds while intermediate tables written now can be read."""
+    return spark.sparkContext.applicationId, _releases
+
+
 def durable(df: DataFrame, label: str = "table") -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a read of it.
 
