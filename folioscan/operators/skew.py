@@ -57,6 +57,28 @@ def heavy_keys(stats: DataFrame, total_rows: Column, shares: dict[str, float], c
     return stats.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
 
 
+def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """The bin of v in [lo, hi], never falling with v; lo and hi are in the first and the last one.
+
+    An interval across zero is cut by sign, a wide one of one sign in equal
+    ratios, any other in equal steps, so a few rounds resolve values of any spread.
+    """
+    up, down = (lo > 0) & (hi / 4 > lo), (hi < 0) & (lo / 4 < hi)
+
+    def scaled(x: Column) -> Column:
+        return F.when(up, F.log(x)).when(down, -F.log(-x)).otherwise(x)
+
+    step = scaled(hi) / bins - scaled(lo) / bins
+    spot = F.floor(scaled(v) / step - scaled(lo) / step).cast("long")
+    return (
+        F.when(v == lo, F.lit(0))
+        .when(v == hi, F.lit(bins - 1))
+        .when((lo <= 0) & (hi >= 0), F.signum(v) + 1)
+        .otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), spot)))
+        .cast("int")
+    )
+
+
 def key_quantiles(rows: DataFrame, key: str, value: str, fractions: tuple[float, ...], bins: int = 256, max_rounds: int = 64) -> DataFrame:
     """Exact quantiles of value for every key: (key, fraction, n, quantile).
 
@@ -84,17 +106,9 @@ def key_quantiles(rows: DataFrame, key: str, value: str, fractions: tuple[float,
     for _ in range(max_rounds):
         if open_.isEmpty():
             break
-        step = F.col("hi") / bins - F.col("lo") / bins
-        spot = F.floor((F.col("v") / step) - (F.col("lo") / step)).cast("long")
-        inside = data.join(open_, "k").where("v >= lo and v <= hi")
-        spot = (
-            F.when(F.col("v") == F.col("lo"), F.lit(0))
-            .when(F.col("v") == F.col("hi"), F.lit(bins - 1))
-            .otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), spot)))
-        )
+        inside = data.join(open_, "k").where("v >= lo and v <= hi").withColumn("b", _bin(F.col("v"), F.col("lo"), F.col("hi"), bins))
         hist = (
-            inside.withColumn("b", spot)
-            .groupBy("k", "f", "n", "rank", "b")
+            inside.groupBy("k", "f", "n", "rank", "b")
             .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         )
         upto = F.sum("c").over(Window.partitionBy("k", "f").orderBy("b"))
