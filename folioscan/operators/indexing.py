@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -178,22 +176,43 @@ def paper_vocabulary(chunks: DataFrame) -> DataFrame:
 # --- versions -------------------------------------------------------------
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def publish(index: Index, root: str) -> str:
-    """Write index as a new version under root and point to it; readers see the old version until then."""
-    version = f"v{len([x for x in os.listdir(root) if x.startswith('v')]) + 1:06d}" if os.path.isdir(root) else "v000001"
-    path = os.path.join(root, version)
+    """Write index as a new version under root, on any file system Spark knows, and point to it.
+
+    The pointer is replaced by one rename; readers see the old version until then.
+    """
+    spark = index.postings.sparkSession
+    jvm, where, files = _file_system(spark, root)
+    old = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+    last = max((int(n[1:]) for n in old if n[:1] == "v" and n[1:].isdigit()), default=0)
+    path = f"{root.rstrip('/')}/v{last + 1:06d}"
     index.save(path)
-    pointer = os.path.join(root, "CURRENT.new")
-    with open(pointer, "w") as f:
-        json.dump({"version": version}, f)
-    os.replace(pointer, os.path.join(root, "CURRENT"))
+    fresh = jvm.org.apache.hadoop.fs.Path(root, "CURRENT.new")
+    out = files.create(fresh, True)
+    out.write(bytearray(path.rsplit("/", 1)[1].encode()))
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri())
+    context.rename(files.makeQualified(fresh), files.makeQualified(jvm.org.apache.hadoop.fs.Path(root, "CURRENT")), options)
     return path
 
 
-def current(root: str) -> str:
+def current(spark: SparkSession, root: str) -> str:
     """Path of the version that root points to."""
-    with open(os.path.join(root, "CURRENT")) as f:
-        return os.path.join(root, json.load(f)["version"])
+    jvm, where, files = _file_system(spark, f"{root.rstrip('/')}/CURRENT")
+    data = files.open(where)
+    try:
+        return f"{root.rstrip('/')}/{jvm.org.apache.commons.io.IOUtils.toString(data, 'UTF-8').strip()}"
+    finally:
+        data.close()
 
 
 class IndexReader:
@@ -203,7 +222,7 @@ class IndexReader:
         self.spark, self.root, self._path, self._index = spark, root, "", None
 
     def get(self) -> Index:
-        path = current(self.root)
+        path = current(self.spark, self.root)
         if path != self._path:
             self._index, self._path = Index.load(self.spark, path), path
         return self._index

@@ -150,7 +150,7 @@ def test_versions(spark, index, tmp_path):
     publish(index, root)
     reader = IndexReader(spark, root)
     assert reader.get() is reader.get() and reader.get().n_chunks == index.n_chunks
-    first = current(root)
+    first = current(spark, root)
     publish(index, root)
-    assert current(root) != first and isinstance(reader.get(), Index)
+    assert current(spark, root) != first and isinstance(reader.get(), Index)
     assert reader.get().postings.where(F.col("token_id") == 1).count() == index.postings.where("token_id = 1").count()
