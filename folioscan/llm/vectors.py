@@ -25,8 +25,11 @@ QUERY_ROWS = 50_000
 MAX_CELLS = 4_096
 #: Vectors of a cell that a query looks at in 8-bit steps after table scoring.
 SCREEN = 256
-#: What the 8-bit steps of two vectors may take from their cosine.
-STEP_ERROR = 0.02
+#: Vectors, at most, of a group of cells that is compared with another in one task, and the groups that all are cut into before.
+GROUP_ROWS = 100_000
+GROUPS = 6
+#: Candidates that a task holds before it drops those that later ones have beaten.
+POOL_ROWS = 2_000_000
 
 
 def usable(v: Column, dims: int) -> Column:
@@ -182,7 +185,7 @@ class VectorIndex:
         self._encoded: DataFrame | None = None
 
     def encoded(self) -> DataFrame:
-        """(id, h, cell, word, codes, norm, own, q): codes as bytes, word the first of them, the length of the decoded vector, its dot product with the vector, and the vector in 8-bit steps."""
+        """(id, h, cell, word, codes, norm, own, q, s): codes as bytes, word the first of them, the length of the decoded vector, its dot product with the vector, and the vector in 8-bit and 16-bit steps."""
         if self._encoded is None:
             shared, dims = self.shared, self.dims
 
@@ -193,7 +196,8 @@ class VectorIndex:
                     x = _matrix(batch.column("v"), dims)
                     codes = shared.value.encode(x)
                     near = shared.value.decode(codes)
-                    steps = np.rint(x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-12) * 127).astype(np.int8)
+                    scaled = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-12)
+                    steps, fine = np.rint(scaled * 127).astype(np.int8), np.rint(scaled * 32767).astype(np.int16)
                     own = (near * x).sum(1)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -205,22 +209,20 @@ class VectorIndex:
                             pa.array(np.linalg.norm(near, axis=1).astype(np.float32)),
                             pa.array(own.astype(np.float32)),
                             _to_binary(steps),
+                            _to_binary(fine.view(np.int8)),
                         ],
-                        names=["id", "h", "cell", "word", "codes", "norm", "own", "q"],
+                        names=["id", "h", "cell", "word", "codes", "norm", "own", "q", "s"],
                     )
 
-            schema = "id long, h long, cell int, word int, codes binary, norm float, own float, q binary"
+            schema = "id long, h long, cell int, word int, codes binary, norm float, own float, q binary, s binary"
             coded = self.source.mapInArrow(run, schema)
             self._encoded = durable(coded.join(self.reps.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]), "codes")
         return self._encoded
 
-    def candidates(
-        self, queries: DataFrame | None, probes: int, per_cell: int, least: float | None, margin: float = 0.0, screen: int = SCREEN
-    ) -> DataFrame:
+    def candidates(self, queries: DataFrame | None, probes: int, per_cell: int, screen: int = SCREEN) -> DataFrame:
         """(a, b, score): for query ids (all if None), vectors of the probed cells by estimated cosine.
 
-        With least, all whose table score lets at least that be possible (within
-        margin) and whose 8-bit steps agree; else, of the screen best of every cell and block by table score, the per_cell best by those steps.
+        Of the screen best of every cell and block by table score, the per_cell best by 8-bit steps.
         """
         coded = self.encoded()
         asked = coded if queries is None else coded.join(queries.select("id").distinct(), "id", "left_semi")
@@ -329,21 +331,14 @@ class VectorIndex:
                 x = steps[at : at + 1024].astype(np.float32)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 dots = shared.value.table_scores(x, cell, codes)
-                if least is not None:
-                    # dot / own is the cosine but for noise across x; own is near norm squared for a good code.
-                    i, j = np.nonzero(dots >= (least - margin) * own)
-                    value = np.einsum("ij,ij->i", x[i], kept[j])
-                    near = value >= least - STEP_ERROR
-                    i, j, value = i[near], j[near], value[near]
-                else:
-                    # A codeword sum is about the mean of its vectors, so dot is the best guess of the cosine; the best by it are looked at in 8-bit steps.
-                    wide = min(screen, dots.shape[1])
-                    j = np.argpartition(-dots, wide - 1, axis=1)[:, :wide]
-                    fine = np.stack([kept[row] @ q for row, q in zip(j, x)])
-                    k = min(per_cell, wide)
-                    best = np.argpartition(-fine, k - 1, axis=1)[:, :k]
-                    value, j = np.take_along_axis(fine, best, 1).ravel(), np.take_along_axis(j, best, 1).ravel()
-                    i = np.repeat(np.arange(len(x)), k)
+                # A codeword sum is about the mean of its vectors, so dot is the best guess of the cosine; the best by it are looked at in 8-bit steps.
+                wide = min(screen, dots.shape[1])
+                j = np.argpartition(-dots, wide - 1, axis=1)[:, :wide]
+                fine = np.stack([kept[row] @ q for row, q in zip(j, x)])
+                k = min(per_cell, wide)
+                best = np.argpartition(-fine, k - 1, axis=1)[:, :k]
+                value, j = np.take_along_axis(fine, best, 1).ravel(), np.take_along_axis(j, best, 1).ravel()
+                i = np.repeat(np.arange(len(x)), k)
                 a, b = asks[at + i], ids[j]
                 keep = a != b
                 yield pa.RecordBatch.from_arrays(
@@ -352,6 +347,180 @@ class VectorIndex:
 
         return base.unionByName(probe).groupBy("cell", "word", "part", "turn").applyInArrow(score, "a long, b long, score float")
 
+    def whole(self, k: int, least: float, floors: DataFrame | None = None) -> DataFrame:
+        """(a, b): every pair in which b can be among the k best of a, with a cosine of least at least; no cell is left out unless a bound shows it may be.
+
+        For all ids or, with floors (id, floor), for those ids only, each with its own cosine in place of least.
+        A vector of cell c is no farther from c's centre than from the centre of the query's cell, so it is at
+        least as far from the query as the plane halfway between the two; a cell is passed over only if that plane is
+        farther than the cosine asked for allows. What is left is compared by dot products of 16-bit steps, whose error is bounded.
+        Groups of cells meet each other in one task each, so the rows of a dense group are spread over tasks.
+        """
+        coded, shared, dims, cells = self.encoded(), self.shared, self.dims, self.cells
+        spark, all_ids = coded.sparkSession, floors is None
+        # Rounding to 16-bit steps turns a unit vector by at most sqrt(dims) / 65,534; both may be turned, and a dot product is rounded.
+        error = 2 * dims**0.5 / 65_534 + 1e-5
+        sizes = {r["cell"]: r["n"] for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        rows = sum(sizes.values())
+        most = max(1, min(GROUP_ROWS, -(-rows // GROUPS)))
+        # Cells in the order of their centres along the widest direction, so that a group's cells lie together; a fuller cell has groups of its own.
+        spread = self.books.coarse - self.books.coarse.mean(0)
+        along = spread @ np.linalg.svd(spread, full_matrices=False)[2][0]
+        first, blocks, group, held = np.zeros(cells, np.int64), np.ones(cells, np.int64), 0, 0
+        for c in np.argsort(along, kind="stable").tolist():
+            n = sizes.get(c, 0)
+            if held and held + n > most:
+                group, held = group + 1, 0
+            first[c], blocks[c], held = group, -(-n // most) if n > most else 1, held + n
+            if n > most:
+                group, held = group + int(blocks[c]), 0
+        groups = group + 1
+        turns = 1 if all_ids else max(1, -(-floors.count() // GROUP_ROWS))
+        plan = spark.sparkContext.broadcast((first, blocks))
+
+        def planes(x: np.ndarray, cell: np.ndarray, to: np.ndarray) -> np.ndarray:
+            """Distance of every row from the planes halfway between the centre of its cell and those of others, 0 on the far side."""
+            c = shared.value.coarse
+            half = (c**2).sum(1) / 2
+            gap = np.sqrt(np.maximum(2 * (half[:, None] + half[to] - c @ c[to].T), 0))
+            own = half[cell] - (x * c[cell]).sum(1)
+            far = (half[to] - x @ c[to].T - own[:, None]) / np.maximum(gap[cell], 1e-2)
+            return np.where(gap[cell] > 1e-2, far, 0)
+
+        def limit(cosine: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(2 - 2 * cosine, 0)) + 2e-3
+
+        def unit(column: pa.Array) -> np.ndarray:
+            x = _from_binary(column, 2 * dims, np.int8).view(np.int16).reshape(-1, dims).astype(np.float32)
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+        def own_group(cell: np.ndarray, ids: np.ndarray) -> np.ndarray:
+            start, wide = plan.value
+            return start[cell] + ids % wide[cell]
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            start, wide = plan.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, cell, floor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "cell", "floor"))
+                own = own_group(cell, ids)
+                asks = ~np.isnan(floor)
+                to = np.zeros((len(ids), groups), bool)
+                if asks.any():
+                    x = unit(batch.column("s").filter(pa.array(asks)))
+                    near = planes(x, cell[asks], np.arange(cells)) <= limit(floor[asks] - error)[:, None]
+                    some = np.zeros((len(x), groups), bool)
+                    for c in np.flatnonzero(near.any(0)):
+                        some[:, start[c] : start[c] + wide[c]] |= near[:, c, None]
+                    to[asks] = some
+                if all_ids:
+                    to[np.arange(len(ids)), own] = True
+                    row, other = np.nonzero(to)
+                    left, right = np.minimum(own[row], other), np.maximum(own[row], other)
+                    stored = (own[row] == right) & (left != right)
+                else:
+                    row, right = np.nonzero(to)
+                    left, stored = ids[row] % turns, np.zeros(len(row), bool)
+                    base = np.repeat(np.arange(len(ids)), turns)
+                    left = np.concatenate([left, np.tile(np.arange(turns), len(ids))])
+                    right, row = np.concatenate([right, own[base]]), np.concatenate([row, base])
+                    stored = np.concatenate([stored, np.ones(len(base), bool)])
+                take = pa.array(row)
+                cols = [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(stored)]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, *(batch.column(c).take(take) for c in ("id", "cell", "floor", "s"))], names=["left", "right", "stored", "id", "cell", "floor", "s"]
+                )
+
+        def side(parts: list[pa.RecordBatch], stored: bool) -> tuple:
+            held = [b.filter(b.column("stored") if stored else pc.invert(b.column("stored"))) for b in parts]
+            ids, cell, floor = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("id", "cell", "floor"))
+            x = np.concatenate([unit(b.column("s")) for b in held])
+            order = np.argsort(cell, kind="stable")
+            ids, cell, floor, x = ids[order], cell[order], floor[order], x[order]
+            names, at = np.unique(cell, return_index=True)
+            return ids, cell, floor.astype(np.float32) - np.float32(error), x, names, np.append(at, len(ids))
+
+        class Pool:
+            """The best of every row so far; floor rises to what a row's k-th best allows."""
+
+            def __init__(self, floor: np.ndarray):
+                self.floor, self.parts, self.held = floor, [], 0
+
+            def add(self, rows: np.ndarray, scores: np.ndarray, others: np.ndarray) -> None:
+                if scores.shape[1] > k:
+                    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] - np.float32(2 * error)
+                    self.floor[rows] = np.maximum(self.floor[rows], kth)
+                i, j = np.nonzero(scores >= self.floor[rows][:, None])
+                self.parts.append((rows[i], others[j], scores[i, j]))
+                self.held += len(i)
+                if self.held > POOL_ROWS:
+                    self.shrink()
+
+            def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                if not self.parts:
+                    return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+                row, other, value = (np.concatenate(p) for p in zip(*self.parts))
+                order = np.lexsort((-value, row))
+                row, other, value = row[order], other[order], value[order]
+                start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
+                full = start[np.diff(np.append(start, len(row))) >= k]
+                self.floor[row[full]] = np.maximum(self.floor[row[full]], value[full + k - 1] - np.float32(2 * error))
+                keep = value >= self.floor[row]
+                self.parts = [(row[keep], other[keep], value[keep])]
+                self.held = int(keep.sum())
+                return self.parts[0]
+
+        def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [b for b in batches if b.num_rows]
+            same = all_ids and key[0].as_py() == key[1].as_py()
+            xs = side(parts, False)
+            ys = xs if same else side(parts, True)
+            (xid, xcell, xfloor, x, xnames, xat), (yid, ycell, yfloor, y, ynames, yat) = xs, ys
+            if not len(xid) or not len(yid):
+                return
+            px = Pool(xfloor.copy())
+            py = px if same else Pool(yfloor.copy())
+            if all_ids:
+                back = np.concatenate([planes(y[i : i + 8192], ycell[i : i + 8192], xnames) <= limit(yfloor[i : i + 8192])[:, None] for i in range(0, len(y), 8192)])
+            for i in range(len(xnames)):
+                for lo in range(xat[i], xat[i + 1], 2048):
+                    hi = min(lo + 2048, xat[i + 1])
+                    there = planes(x[lo:hi], xcell[lo:hi], ynames) <= limit(xfloor[lo:hi])[:, None]
+                    for j in np.flatnonzero(there.any(0)):
+                        if same and ynames[j] < xnames[i]:
+                            continue
+                        rx = lo + np.flatnonzero(there[:, j])
+                        ry = np.arange(yat[j], yat[j + 1])
+                        if all_ids:
+                            ry = ry[back[ry, i]]
+                        for part in range(0, len(ry), 4096):
+                            cols = ry[part : part + 4096]
+                            dots = x[rx] @ y[cols].T
+                            inner = same and ynames[j] == xnames[i]
+                            if inner or not all_ids:
+                                dots[xid[rx][:, None] == yid[cols]] = -2
+                            high = dots.max(1) >= px.floor[rx]
+                            if high.any():
+                                px.add(rx[high], dots[high], cols)
+                            if all_ids and not inner:
+                                high = dots.max(0) >= py.floor[cols]
+                                if high.any():
+                                    py.add(cols[high], np.ascontiguousarray(dots[:, high].T), rx)
+            for pool, own, other in ((px, xid, yid), (py, yid, xid))[: 2 if all_ids and not same else 1]:
+                row, to, value = pool.shrink()
+                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(other[to]), pa.array(value)], names=["a", "b", "score"])
+
+        floor = coded.withColumn("floor", F.lit(float(least))) if all_ids else coded.join(floors.select("id", "floor"), "id", "left")
+        sent = floor.select("id", "cell", F.col("floor").cast("double").alias("floor"), "s").mapInArrow(
+            send, "left int, right int, stored boolean, id long, cell int, floor double, s binary"
+        )
+        found = sent.groupBy("left", "right").applyInArrow(compare, "a long, b long, score float")
+        top = Window.partitionBy("a")
+        ranked = found.withColumn("r", F.row_number().over(top.orderBy(F.col("score").desc(), "b")))
+        kth = F.coalesce(F.max(F.when(F.col("r") == k, F.col("score"))).over(top), F.lit(-3.0))
+        return ranked.withColumn("kth", kth).where(F.col("score") >= F.col("kth") - 2 * error).select("a", "b")
+
     def exact(self, pairs: DataFrame) -> DataFrame:
         """(a, b, cosine) of pairs (a, b) of searched ids, from the stored vectors."""
         dims = self.dims
@@ -398,7 +567,7 @@ class VectorIndex:
         if queries is not None:
             asked_h = self.ids.join(queries.select("id").distinct(), "id", "left_semi").select("h").distinct()
             reps = self.reps.join(asked_h, "h", "left_semi").select("id")
-        found = self.candidates(reps, probes, per_cell, None)
+        found = self.candidates(reps, probes, per_cell)
         top = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
         short = durable(found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= rerank).select("a", "b"), "candidates")
         exact = self.exact(short)
@@ -406,18 +575,10 @@ class VectorIndex:
         near = exact.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
         return self._expand(durable(near, "neighbours"), k, queries)
 
-    def close(self, least: float, k: int = 10, probes: int | None = None, margin: float = 0.15) -> DataFrame:
-        """(id, other, cosine, rank): of the k most similar vectors of every id those with a cosine of at least least.
-
-        A pair is found when either side's cell is among those the other
-        probes: the fourth root of the number of cells, 4 at least, unless told otherwise.
-        """
-        probes = probes or max(4, round(self.cells**0.25))
-        met = self.candidates(None, probes, 0, least, margin)
-        pairs = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        exact = self.exact(pairs).where(F.col("cosine") >= least)
-        both = durable(exact, "close-pairs")
-        both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    def close(self, least: float, k: int = 10) -> DataFrame:
+        """(id, other, cosine, rank): of the k most similar vectors of every id those with a cosine of at least least; none is left out."""
+        pairs = durable(self.whole(k, least), "candidates")
+        exact = durable(self.exact(pairs).where(F.col("cosine") >= least), "close-pairs")
         best = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-        near = both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+        near = exact.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
         return self._expand(near, k, None)

@@ -78,3 +78,14 @@ def test_full_cells_are_cut(spark, monkeypatch):
     for r in index.nearest(10).collect():
         got.setdefault(r.id, set()).add(r.other)
     assert np.mean([len(got[i] & set(top[i])) / 10 for i in range(len(x))]) >= 0.9
+
+
+def test_dense_group_over_many_cells_is_whole(spark):
+    x = data(3000, dims=32, seed=4)
+    rng = np.random.default_rng(2)
+    x[:1000] = x[0] / np.linalg.norm(x[0]) + 0.05 * rng.normal(size=(1000, 32))
+    index = VectorIndex(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA), "id", "v", dims=32, cell_rows=15)
+    sims, top = exact(x, 10)
+    assert 0.85 < np.median(sims[:1000, :1000]) < 0.97
+    want = {(i, j) for i in range(len(x)) for j in top[i].tolist() if sims[i, j] >= 0.9}
+    assert {(r.id, r.other) for r in index.close(0.9).collect()} == want
