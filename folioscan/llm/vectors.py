@@ -560,19 +560,22 @@ class VectorIndex:
     def nearest(self, k: int = 10, queries: DataFrame | None = None, probes: int | None = None, per_cell: int = 24, rerank: int = 40) -> DataFrame:
         """(id, other, cosine, rank): the k most similar vectors of every query id, or of all, after exact reranking.
 
-        Tries 0.9 times the root of the number of cells, 16 at least, unless told otherwise.
+        The codes of 0.9 times the root of the number of cells, 16 at least unless told otherwise, give k good
+        neighbours; then every cell that can hold a better one than the k-th of them is searched.
         """
         probes = probes or max(16, round(0.9 * self.cells**0.5))
-        reps = None
+        reps = self.reps.select("id")
         if queries is not None:
             asked_h = self.ids.join(queries.select("id").distinct(), "id", "left_semi").select("h").distinct()
-            reps = self.reps.join(asked_h, "h", "left_semi").select("id")
-        found = self.candidates(reps, probes, per_cell)
+            reps = durable(self.reps.join(asked_h, "h", "left_semi").select("id"), "asked")
+        found = self.candidates(None if queries is None else reps, probes, per_cell)
         top = Window.partitionBy("a").orderBy(F.col("score").desc(), "b")
         short = durable(found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= rerank).select("a", "b"), "candidates")
-        exact = self.exact(short)
         best = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-        near = exact.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+        kth = self.exact(short).withColumn("r", F.row_number().over(best)).where(F.col("r") == k)
+        floors = reps.join(kth.select(F.col("a").alias("id"), "cosine"), "id", "left").select("id", F.coalesce("cosine", F.lit(-1.0)).alias("floor"))
+        pairs = durable(self.whole(k, -1.0, durable(floors, "floors")), "whole")
+        near = self.exact(pairs).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
         return self._expand(durable(near, "neighbours"), k, queries)
 
     def close(self, least: float, k: int = 10) -> DataFrame:

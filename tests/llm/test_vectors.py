@@ -89,3 +89,6 @@ def test_dense_group_over_many_cells_is_whole(spark):
     assert 0.85 < np.median(sims[:1000, :1000]) < 0.97
     want = {(i, j) for i in range(len(x)) for j in top[i].tolist() if sims[i, j] >= 0.9}
     assert {(r.id, r.other) for r in index.close(0.9).collect()} == want
+    few = spark.createDataFrame([(i,) for i in range(0, 3000, 10)], "id long")
+    got = {(r.id, r.other) for r in index.nearest(10, few, probes=1).collect()}
+    assert got == {(i, j) for i in range(0, 3000, 10) for j in top[i].tolist()}
