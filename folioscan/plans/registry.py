@@ -322,7 +322,7 @@ def latent_blend(spark: SparkSession, d: str) -> DataFrame:
 def search_latent(spark: SparkSession, d: str) -> DataFrame:
     ix, o = index(spark, d), S.SearchOptions(svd=True)
     qs = titles(ix)
-    components = durable(L.fit_svd(ix, k=16, fit_rows=20_000), "components")
+    components = durable(L.fit_svd(ix), "components")
     latent = L.embed_queries(S.query_vectors(ix, qs, o), components), L.embed_chunks(ix, components)
     return S.search(ix, qs, o, latent).select("query_id", "position", "chunk_id")
 
