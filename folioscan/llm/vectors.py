@@ -16,7 +16,8 @@ from folioscan.runtime import broadcast_if_small, durable
 #: Vectors, at most, on which the codebooks are fitted. All vectors are encoded and searched.
 FIT_ROWS = 20_000
 #: Vectors of a cell on average, and the most that one task scores together. A fuller cell is cut by the first residual
-#: codeword, of which a query then tries SUB_PROBES, and what is fuller still into blocks, of which it tries all.
+#: codeword, of which a query then tries SUB_PROBES for its first neighbours (whole() leaves none out after), and what is
+#: fuller still into blocks, of which it tries all.
 CELL_ROWS = 500
 BLOCK_ROWS = 4_000
 SUB_PROBES = 12

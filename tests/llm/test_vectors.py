@@ -92,3 +92,13 @@ def test_dense_group_over_many_cells_is_whole(spark):
     few = spark.createDataFrame([(i,) for i in range(0, 3000, 10)], "id long")
     got = {(r.id, r.other) for r in index.nearest(10, few, probes=1).collect()}
     assert got == {(i, j) for i in range(0, 3000, 10) for j in top[i].tolist()}
+
+
+def test_full_cells_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(vectors, "SUB_PROBES", 1)
+    x = data(1200, seed=3)
+    index = VectorIndex(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA), "id", "v", dims=16, cell_rows=400)
+    sims, top = exact(x, 10)
+    assert {(r.id, r.other) for r in index.nearest(10).collect()} == {(i, j) for i in range(len(x)) for j in top[i].tolist()}
+    assert {(r.id, r.other) for r in index.close(0.9).collect()} == {(i, j) for i in range(len(x)) for j in top[i].tolist() if sims[i, j] >= 0.9}
