@@ -50,7 +50,8 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, window: int =
     """Documents to take of each length so that their tokens come as near to budget from below as they can.
 
     A share of every length, then the largest lengths down to the window, then
-    an exact bounded subset sum of the rest.
+    an exact bounded subset sum of the rest. Of a rest over 16 windows, the
+    largest documents that fit are taken first.
     """
     total = sum(a * b for a, b in zip(lengths, counts))
     if budget >= total:
@@ -64,8 +65,15 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, window: int =
             more = min(c - keep[n], max(0, (left - window // 2) // n))
             keep[n] += more
             left -= n * more
+    for n, c in sorted(zip(lengths, counts), reverse=True):
+        if left <= 16 * window:
+            break
+        if n > 0:
+            more = min(c - keep[n], left // n)
+            keep[n] += more
+            left -= n * more
     spare = sorted(((n, c - keep[n]) for n, c in zip(lengths, counts) if n > 0 and c > keep[n]), reverse=True)
-    for n, c in subset_sum([n for n, _ in spare], [c for _, c in spare], min(left, 2 * window)).items():
+    for n, c in subset_sum([n for n, _ in spare], [c for _, c in spare], min(left, 16 * window)).items():
         keep[n] += c
     return keep
 

@@ -132,3 +132,8 @@ def test_distinctive_edges(spark):
     nine = next(r for r in got if r.token_id == 9)
     assert nine.df == len({c for t, c, _ in rows if t == 9}) + 2
     assert distinctive_terms(posting.where("false")).count() == 0
+
+
+def test_fit_budget_takes_long_documents():
+    assert fit_budget([40_000], [3], 45_000) == {40_000: 1}
+    assert fit_budget([300_000], [3], 600_000) == {300_000: 2}
