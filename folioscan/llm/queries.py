@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioscan.llm import markup, repetition as rep
 from folioscan.llm.distinctive import distinctive_terms
@@ -49,6 +50,19 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).withColumnRenamed("id", "chunk_id")
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of every chunk cover: its characters, counted from offsets, and whether all pieces keep the rules."""
+    before = F.lag("end").over(Window.partitionBy("id").orderBy("piece_no"))
+    gap = F.col("start") - F.coalesce(before, F.lit(0))
+    own = F.col("end") - F.col("start")
+    rules = (own <= 2000) & (gap >= -200) & (gap <= 1) & (F.length("piece") == own) & (F.col("forced") <= (F.col("cut") == "forced"))
+    seen = _pieces(spark, d).withColumn("gap", gap).withColumn("fits", rules)
+    # The boundary after the last piece may end the text.
+    return seen.groupBy(F.col("id").alias("chunk_id")).agg(
+        F.sum(own + F.col("gap")).alias("chars"), F.first("cut").alias("cut"), F.min("fits").alias("fits"), (F.max("piece_no") + 1 == F.max("n_pieces")).alias("whole")
+    )
+
+
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
     rows = _paragraphs(spark, d).where("id is not null").dropDuplicates(["id"])
     return markup.clean_texts(rows, ("id",), "text")
@@ -146,7 +160,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_classes, p2_found, p2_pieces, p3_found, p3_clean, p3_tokens, p5_found, p5_weights, p6_found, p6_nearest,
+            p1_found, p1_classes, p2_found, p2_pieces, p2_coverage, p3_found, p3_clean, p3_tokens, p5_found, p5_weights, p6_found, p6_nearest,
             p7_found, p7_terms, p8_found, p8_containers, p9_found, p9_shares, p9_documents, p10_found, p10_shares, p10_quality,
         )
     }
@@ -184,6 +198,11 @@ def oracle_sql() -> dict[str, str]:
             with t as (select distinct id as chunk_id, text from chunk where id is not null and length(text) > 2000),
             s as (select chunk_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?;]|\\\\)\s', '\1' || chr(10), 'g'), '\r', chr(10), 'g'), '\n')) as part from t)
             select chunk_id, case when max(length(part)) > 2000 then 'forced' else 'natural' end as cut from s group by 1""",
+        "p2_coverage": r"""
+            with t as (select id as chunk_id, max(text) as text from chunk where id is not null and length(text) > 0 group by 1),
+            s as (select chunk_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?;]|\\\\)\s', '\1' || chr(10), 'g'), '\r', chr(10), 'g'), '\n')) as part from t)
+            select chunk_id, length(any_value(text))::bigint as chars, case when length(any_value(text)) > 2000 and max(length(part)) > 2000 then 'forced' else 'natural' end as cut, true as fits, true as whole
+            from s join t using (chunk_id) group by 1""",
         "p5_found": f"""{_WEIGHTS} select distinct w.chunk_id, w.token_id from w join c using (chunk_id)
             where w.w / c.norm >= 0.45 and c.terms >= 20
             and w.chunk_id in (select id from chunk where lower(trim(kind)) = 'paragraph')""",

@@ -78,6 +78,9 @@ def cut(text: str, limit: int = 2000, overlap: int = 200, unit: str = "chars") -
         i = bisect_right(marks, m.reach(s, limit)) - 1
         last = pieces[-1][1] if pieces else 0
         forced = i < 0 or marks[i] <= max(s, last)
+        if forced and i >= 0 and marks[i] == s:
+            s += 1  # a boundary at the very start lies between pieces and takes no room in one
+            continue
         e = m.reach(s, limit) if forced else marks[i]
         pieces.append((s, e, forced))
         after = e if forced else e + 1
@@ -97,11 +100,17 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ..
     piece's end is no boundary, cut is 'forced' if any end of its text is, else
     'natural'. A text within limit is one piece. Null ids and null or empty
     texts have no piece. A repeated id counts once, with the least of its kept
-    values (its texts are taken to be equal; if not, any one is cut).
+    values and the greatest of its texts over the limit, or of all if none is.
+    Only texts over the limit go to Python; where only these are asked for
+    (n_pieces > 1), no other text is read on or shuffled.
     """
-    spark_rows = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0))
-    agg = [F.min(c).alias(c) for c in keep]
-    rows = spark_rows.groupBy(F.col(id_col).alias("id")).agg(*agg, F.first(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
+
+    def once(part: DataFrame) -> DataFrame:
+        return part.groupBy("id").agg(*[F.min(c).alias(c) for c in keep], F.max("text").alias("text")).select("id", *keep, "text")
+
+    # A text of at most limit characters has no more tokens than that either, and is one piece.
+    long = rows.where(F.length("text") > limit)
     kept = "".join(f"`{c}` {t}, " for c, t in rows.select(*keep).dtypes) if keep else ""
     id_type = dict(rows.dtypes)["id"]
     schema = f"id {id_type}, {kept}piece_no int, n_pieces int, `start` int, `end` int, forced boolean, cut string, piece string"
@@ -126,4 +135,11 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ..
                 names=["id", *keep, "piece_no", "n_pieces", "start", "end", "forced", "cut", "piece"],
             )
 
-    return rows.select("id", *keep, "text").mapInArrow(run, schema)
+    cut_up = once(long).mapInArrow(run, schema)
+    short = once(rows.where(F.length("text") <= limit).join(long.select("id").distinct(), "id", "left_anti"))
+    zero = F.lit(0)
+    whole = short.select(
+        "id", *keep, zero.alias("piece_no"), F.lit(1).alias("n_pieces"), zero.alias("start"), F.length("text").alias("end"),
+        F.lit(False).alias("forced"), F.lit("natural").alias("cut"), F.col("text").alias("piece"),
+    )
+    return cut_up.unionByName(whole)

@@ -31,6 +31,12 @@ def test_cut(text, limit, overlap):
     assert any(p[2] for p in pieces) == long_stretch
 
 
+def test_boundary_at_the_start_takes_no_room():
+    assert cut("\n;;;;;", 5, 0) == [(1, 6, False)]
+    assert cut("\n" + "x" * 2000) == [(1, 2001, False)]
+    assert any(p[2] for p in cut("\n" + "x" * 2001))
+
+
 @settings(max_examples=100, deadline=None)
 @given(PROSE, st.integers(3, 20), st.integers(0, 2))
 def test_cut_by_tokens(text, limit, overlap):
