@@ -3,13 +3,74 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscan.runtime import durable
+from folioscan.runtime import broadcast_if_small, durable
+
+#: A key with more rows than this is spread over several tasks, and the keys, at most, that are.
+HOT_ROWS = 100_000
+HOT_KEYS = 4_096
+#: Rows of one key that one task compares with as many others.
+BLOCK_ROWS = 4_000
+
+
+def hot_keys(counts: DataFrame, key: str, count: str = "n", hot_rows: int | None = None) -> DataFrame:
+    """(key, salts): the HOT_KEYS keys of most rows among those with over hot_rows rows, and the parts each is cut into.
+
+    counts has one row a key. The list is bounded, so it can be broadcast; a key
+    that it leaves out holds less than one row in HOT_KEYS.
+    """
+    most = hot_rows or HOT_ROWS
+    top = counts.where(F.col(key).isNotNull() & (F.col(count) > most)).orderBy(F.col(count).desc(), key).limit(HOT_KEYS)
+    return top.select(key, F.ceil(F.col(count) / most).cast("int").alias("salts"))
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, how: str = "inner", count: str = "n", hot_rows: int | None = None) -> DataFrame:
+    """rows joined with lookup on key, where a hot key's rows are spread over tasks and its lookup rows repeated for each.
+
+    counts (key, count) says how many rows a key has; it may leave out keys with
+    few. how is inner, left, left_semi or left_anti. The spread follows a hash of
+    the whole row, so exact repeats stay together. rows without a hot key are joined as usual.
+    """
+    hot = durable(hot_keys(counts, key, count, hot_rows), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(lookup, key, how)
+    salts = F.broadcast(hot)
+    spot = F.pmod(F.xxhash64(*rows.columns), F.coalesce(F.col("salts"), F.lit(1))).cast("int")
+    left = rows.join(salts, key, "left").withColumn("_salt", spot).drop("salts")
+    right = lookup.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def met_in_blocks(left: DataFrame, right: DataFrame, key: str, by: str, block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """left and right with two columns more, _i and _j, to be joined on key, _i and _j so that each pair of rows of one key meets once.
+
+    A key with more than block_rows rows on a side is cut there into blocks by a
+    hash of by; every block of the left meets every block of the right in a place
+    of its own. Keys with no more rows have one block on each side. Counting is
+    combined map-side; only the keys with several blocks are looked up.
+    """
+    most = block_rows or BLOCK_ROWS
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        return durable(n.select(key, "n", F.ceil(F.col("n") / most).cast("int").alias(name)), "blocked-keys")
+
+    def with_blocks(df: DataFrame, own: str, across: str, at: str, to: str) -> DataFrame:
+        known = salted_join(df, both, key, both, "left") if not both.isEmpty() else df.withColumn("rows_i", F.lit(1)).withColumn("rows_j", F.lit(1))
+        mine = F.pmod(F.xxhash64(by), F.coalesce(own, F.lit(1))).cast("int")
+        meets = F.explode(F.sequence(F.lit(0), F.coalesce(across, F.lit(1)) - 1))
+        return known.withColumn(at, mine).withColumn(to, meets).drop("rows_i", "rows_j", "n")
+
+    a, b = sizes(left, "rows_i"), sizes(right, "rows_j").withColumnRenamed("n", "m")
+    both = durable(a.join(b, key, "full").select(key, F.greatest("n", "m").alias("n"), "rows_i", "rows_j"), "blocks")
+    return with_blocks(left, "rows_i", "rows_j", "_i", "_j"), with_blocks(right, "rows_j", "rows_i", "_j", "_i")
+
 
 def key_statistics(rows: DataFrame, left: str, right: str, value: str) -> DataFrame:
     """Statistics of both key columns of a fact table: (key_field, key_id, rows, partners, total).
@@ -79,49 +140,69 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     )
 
 
-def key_quantiles(rows: DataFrame, key: str, value: str, fractions: tuple[float, ...], bins: int = 256, max_rounds: int = 64) -> DataFrame:
-    """Exact quantiles of value for every key: (key, fraction, n, quantile).
+def key_rows(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """(key_field, key_id, v, c): how often each value (null too) comes with each id of the key columns, all of one type.
 
-    The quantile of fraction f over n values is the value of rank ceil(f * n),
-    1 at least. Each round counts values in bins of the interval that still
-    holds a wanted rank (mergeable counts, combined map-side), keeps the bin
-    with the rank and ends for a key once that bin holds one distinct value.
-    No value of a hot key is gathered; a round moves at most bins + 2 partial
-    rows per key, fraction and task. Null keys, and null or NaN values, are left out;
-    infinite values count as the largest finite number of their sign; a key
-    without values gives no row. Repeated rows count each time.
+    Equal rows are added up map-side before anything moves, and the shuffle is by
+    key and value, so a hot key is spread by its values.
     """
     most = sys.float_info.max
-    data = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(
-        F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v")
+    v = F.col(value).cast("double")
+    v = F.when(v.isNotNull() & ~F.isnan(v), F.greatest(F.lit(-most), F.least(F.lit(most), v)))
+    parts = [F.struct(F.lit(k).alias("key_field"), F.col(k).alias("key_id")) for k in keys]
+    named = rows.select(F.explode(F.array(*parts)).alias("k"), v.alias("v")).select("k.*", "v")
+    return named.where(F.col("key_id").isNotNull()).groupBy("key_field", "key_id", "v").agg(F.count(F.lit(1)).alias("c"))
+
+
+def key_quantiles(
+    rows: DataFrame, keys: tuple[str, ...], value: str, fractions: tuple[float, ...], bins: int = 256, max_rounds: int = 64,
+    least: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Exact quantiles of value for every id of the key columns: (key_field, key_id, fraction, rows, n, quantile).
+
+    rows counts all rows of the key, n those with a value. The quantile of
+    fraction f is the value of rank ceil(f * n), 1 at least, null if n is 0. The
+    first histogram is the number of rows and the range of each key; least, given
+    it as (key_field, key_id, rows, n, lo, hi), may keep some keys only. Each further
+    round counts the values of the intervals that still hold a wanted rank in
+    bins (mergeable counts, combined map-side), keeps the bin with the rank and
+    ends for a key once that bin holds one distinct value. No value of a hot key
+    is gathered, and a hot key's rows meet its intervals in several tasks. Null
+    keys belong to no key; NaN is no value; infinite values count as the largest
+    finite number of their sign. Repeated rows count each time.
+    """
+    data = durable(key_rows(rows, keys, value), "key-values")
+    has = F.col("v").isNotNull()
+    profile = data.groupBy("key_field", "key_id").agg(
+        F.sum("c").alias("rows"), F.sum(F.when(has, F.col("c")).otherwise(0)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("values")
     )
-    data = data.withColumn("v", F.greatest(F.lit(-most), F.least(F.lit(most), F.col("v"))))
-    bounds = data.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    wanted = bounds.select(
-        "k", "n", "lo", "hi", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("f")
-    ).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("f") * F.col("n"))).cast("long"))
-    wanted = durable(wanted.select("k", "n", "f", "rank", "lo", "hi"), "quantile-bounds")
-    done = [wanted.where("lo = hi").select("k", "f", "n", F.col("lo").alias("quantile"))]
+    profile = durable(least(profile) if least else profile, "key-profile")
+    wanted = profile.withColumn("f", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    wanted = wanted.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("f") * F.col("n"))).cast("long"))
+    out = ["key_field", "key_id", F.col("f").alias("fraction"), "rows", "n", F.col("lo").alias("quantile")]
+    done = [wanted.where("lo is null or lo = hi").select(*out)]
     open_ = wanted.where("lo < hi")
+    places = profile.select(F.struct("key_field", "key_id").alias("k"), F.col("values").alias("n"))
+    held = data.where(has).select(F.struct("key_field", "key_id").alias("k"), "v", "c")
     for _ in range(max_rounds):
         if open_.isEmpty():
             break
-        inside = data.join(open_, "k").where("v >= lo and v <= hi").withColumn("b", _bin(F.col("v"), F.col("lo"), F.col("hi"), bins))
-        hist = (
-            inside.groupBy("k", "f", "n", "rank", "b")
-            .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        )
-        upto = F.sum("c").over(Window.partitionBy("k", "f").orderBy("b"))
+        asked = open_.groupBy(F.struct("key_field", "key_id").alias("k")).agg(F.collect_list(F.struct("f", "rows", "n", "rank", "lo", "hi")).alias("q"))
+        small = broadcast_if_small(durable(asked, "quantile-intervals"))
+        met = salted_join(held, small, "k", places)
+        inside = met.withColumn("q", F.explode(F.filter("q", lambda x: F.col("v").between(x["lo"], x["hi"]))))
+        inside = inside.select("k.*", "q.f", "q.rows", "q.n", "q.rank", "v", "c", _bin(F.col("v"), F.col("q.lo"), F.col("q.hi"), bins).alias("b"))
+        hist = inside.groupBy("key_field", "key_id", "f", "rows", "n", "rank", "b").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("c").over(Window.partitionBy("key_field", "key_id", "f").orderBy("b"))
         hit = (
             hist.withColumn("upto", upto)
             .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
             .withColumn("rank", F.col("rank") - (F.col("upto") - F.col("c")))
-            .select("k", "n", "f", "rank", "lo", "hi")
         )
-        hit = durable(hit, "quantile-round")
-        done.append(hit.where("lo = hi").select("k", "f", "n", F.col("lo").alias("quantile")))
+        hit = durable(hit.select("key_field", "key_id", "f", "rows", "n", "rank", "lo", "hi"), "quantile-round")
+        done.append(hit.where("lo = hi").select(*out))
         open_ = hit.where("lo < hi")
     else:
         if not open_.isEmpty():
             raise RuntimeError("quantile intervals did not close; raise max_rounds")
-    return reduce(DataFrame.unionByName, done).select(F.col("k").alias(key), F.col("f").alias("fraction"), "n", "quantile")
+    return reduce(DataFrame.unionByName, done)

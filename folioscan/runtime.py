@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured row count times its row width stays below this.
@@ -95,10 +95,25 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Mark df for broadcast when its rows, counted up to the limit, fit; otherwise leave the choice to the planner.
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row as the planner would keep it: 8 a column, and what strings, binaries and arrays hold."""
+    total = F.lit(16)
+    for name, kind in df.dtypes:
+        total = total + 8
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    return total
 
-    df should be cheap to count (a durable table or a plain scan).
+
+def broadcast_if_small(df: DataFrame, row_bytes: int = 0, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Mark df for broadcast when its measured bytes fit the limit; otherwise leave the choice to the planner.
+
+    Rows are counted up to the limit and strings by their real lengths, each row
+    as row_bytes at least. df should be cheap to count (a durable table or a plain scan).
     """
-    most = max(1, limit // max(1, row_bytes))
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    least = max(row_bytes, 16 + 8 * len(df.columns))
+    most = max(1, limit // least)
+    seen = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(F.greatest(F.lit(least), _width(df)))).first()
+    return F.broadcast(df) if seen[0] <= most and (seen[1] or 0) <= limit else df
