@@ -37,10 +37,11 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame,
     few. how is inner, left, left_semi or left_anti. The spread follows a hash of
     the whole row, so exact repeats stay together. rows without a hot key are joined as usual.
     """
-    hot = durable(hot_keys(counts, key, count, hot_rows), "hot-keys")
-    if hot.isEmpty():
+    hot = hot_keys(counts, key, count, hot_rows)
+    listed = hot.collect()
+    if not listed:
         return rows.join(lookup, key, how)
-    salts = F.broadcast(hot)
+    salts = F.broadcast(rows.sparkSession.createDataFrame(listed, hot.schema))
     spot = F.pmod(F.xxhash64(*rows.columns), F.coalesce(F.col("salts"), F.lit(1))).cast("int")
     left = rows.join(salts, key, "left").withColumn("_salt", spot).drop("salts")
     right = lookup.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
@@ -56,20 +57,24 @@ def met_in_blocks(left: DataFrame, right: DataFrame, key: str, by: str, block_ro
     combined map-side; only the keys with several blocks are looked up.
     """
     most = block_rows or BLOCK_ROWS
-
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-        return durable(n.select(key, "n", F.ceil(F.col("n") / most).cast("int").alias(name)), "blocked-keys")
-
-    def with_blocks(df: DataFrame, own: str, across: str, at: str, to: str) -> DataFrame:
-        known = salted_join(df, both, key, both, "left") if not both.isEmpty() else df.withColumn("rows_i", F.lit(1)).withColumn("rows_j", F.lit(1))
+    if left is right:
+        each = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.col("n"))
+    else:
+        sides = left.select(key, F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(right.select(key, F.lit(0).alias("n"), F.lit(1).alias("m")))
+        each = sides.groupBy(key).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    each = durable(each.where((F.col("n") > most) | (F.col("m") > most)), "blocked-keys")
+    if each.isEmpty():
+        return tuple(df.withColumns({"_i": F.lit(0), "_j": F.lit(0)}) for df in (left, right))
+    many = [F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int").alias(t) for c, t in (("n", "rows_i"), ("m", "rows_j"))]
+    blocks = each.select(key, *many)
+
+    def with_blocks(df: DataFrame, count: str, own: str, across: str, at: str, to: str) -> DataFrame:
+        known = salted_join(df, blocks, key, each, "left", count)
         mine = F.pmod(F.xxhash64(by), F.coalesce(own, F.lit(1))).cast("int")
         meets = F.explode(F.sequence(F.lit(0), F.coalesce(across, F.lit(1)) - 1))
-        return known.withColumn(at, mine).withColumn(to, meets).drop("rows_i", "rows_j", "n")
+        return known.withColumn(at, mine).withColumn(to, meets).drop("rows_i", "rows_j")
 
-    a, b = sizes(left, "rows_i"), sizes(right, "rows_j").withColumnRenamed("n", "m")
-    both = durable(a.join(b, key, "full").select(key, F.greatest("n", "m").alias("n"), "rows_i", "rows_j"), "blocks")
-    return with_blocks(left, "rows_i", "rows_j", "_i", "_j"), with_blocks(right, "rows_j", "rows_i", "_j", "_i")
+    return with_blocks(left, "n", "rows_i", "rows_j", "_i", "_j"), with_blocks(right, "m", "rows_j", "rows_i", "_j", "_i")
 
 
 def key_statistics(rows: DataFrame, left: str, right: str, value: str) -> DataFrame:

@@ -82,3 +82,7 @@ def test_pairs_of_a_hot_key_meet_once_and_apart(spark, apart):
     most = pairs.where("k = -1").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most < 1_500**2 * 0.6
     assert left.where("_i > 0 and k >= 0").count() == 0
+    left, right = met_in_blocks(a, a, "k", "id", 100)
+    assert left.join(right, ["k", "_i", "_j"]).count() == 1_500**2 + 500 * 9
+    plain, _ = met_in_blocks(a, a, "k", "id", 10_000)
+    assert plain.agg(F.max("_i"), F.max("_j"), F.count(F.lit(1))).first() == (0, 0, 3_001)
