@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.operators.skew import met_in_blocks, salted_join
 from folioscan.runtime import durable
 
 #: Tokens in an enumerated subset of a small set.
@@ -83,20 +84,17 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     the larger side's one-prefix scans the inverted lists of all one-prefixes.
     The boundary is the size of least total cost. Tokens of one set only can't
     match and take prefix places without being emitted. Pairs are then verified
-    exactly. Nothing is capped: a long list is joined in pieces by the
-    adaptive skew join.
+    exactly. Nothing is capped: a token, subset or set that very many others meet
+    is cut by its counted rows into blocks, which meet each other in tasks of their own.
     """
-    tokens = sets.select("id", F.explode("shingles").alias("h"))
-    common = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = (
-        tokens.join(common, "h")
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    )
+    tokens = sets.select("id", "size", F.explode("shingles").alias("h"))
+    common = durable(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-counts")
     need = _needed(F.col("size"), threshold)
     rare = F.col("size") - F.size("shared")
     ranked = (
-        shared.join(sets.select("id", "size"), "id")
+        salted_join(tokens, common, "h", common, count="df")
+        .groupBy("id")
+        .agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
         .withColumn("need", need)
         .withColumn("pre1", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.col("need") + 1 - rare)))
         .withColumn("pre2", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.col("need") + SUBSET - rare)))
@@ -106,7 +104,6 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     limit = _boundary(ranked)
     is_small = (F.col("size") <= limit) & (F.col("need") >= SUBSET)
 
-    entry = F.struct("id", "size")
     # Within a set both tokens of a subset are listed in the global order, so equal subsets hash alike.
     pairs_of = F.flatten(
         F.transform(
@@ -118,24 +115,25 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     lists = ranked.select(F.explode(F.col("pre1.h")).alias("key"), "id", "size", (~is_small).alias("large"))
 
     def met(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
+        left, right = met_in_blocks(left, right, "key", "id")
         x, y = left.alias("x"), right.alias("y")
         fits = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * F.lit(threshold) - 1e-9
-        return x.join(y, (F.col("x.key") == F.col("y.key")) & fits & extra).select(
-            F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
-        )
+        place = (F.col("x.key") == F.col("y.key")) & (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j"))
+        return x.join(y, place & fits & extra).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
     found = met(subsets, subsets, F.col("x.id") < F.col("y.id")).distinct()
     scans = lists.where("large")
     if not scans.isEmpty():
         one_way = (F.col("x.id") < F.col("y.id")) | ((F.col("x.id") > F.col("y.id")) & ~F.col("y.large"))
         found = found.unionByName(met(scans, lists, one_way)).distinct()
+    found = durable(found, "candidate-pairs")
 
-    body = ranked.select("id", "size", "shared")
-    a = body.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("shared").alias("shared_a"))
-    b = body.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"))
-    checked = found.join(a, "a").join(b, "b").select(
-        "a", "b", "size_a", "size_b", F.size(F.array_intersect("shared_a", "shared_b")).alias("common")
-    )
+    def with_set(pairs: DataFrame, side: str) -> DataFrame:
+        """pairs with the set of one side, which is sent to several tasks if many pairs have it."""
+        own = ranked.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("shared").alias(f"shared_{side}"))
+        return salted_join(pairs, own, side, found.groupBy(side).agg(F.count(F.lit(1)).alias("n")))
+
+    checked = with_set(with_set(found, "a"), "b").select("a", "b", "size_a", "size_b", F.size(F.array_intersect("shared_a", "shared_b")).alias("common"))
     return checked.where(F.col("common") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9)
 
 
@@ -152,24 +150,34 @@ class NearDuplicates:
         self.keep = keep
         sets = durable(shingle_sets(docs, id_col, text_col, k, min_words, keep), "shingle-sets")
         slim = sets.groupBy("id").agg(F.min(F.struct("sig", *keep)).alias("m")).select("id", "m.*")
-        reps = slim.groupBy("sig").agg(F.min("id").alias("rep"))
-        self.members = durable(slim.join(reps, "sig").select("id", *keep, "rep", "sig"), "duplicate-members")
+        reps = slim.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        many = reps.select("sig", F.col("copies").alias("n"))
+        self.members = durable(salted_join(slim, reps, "sig", many).select("id", *keep, "rep", "sig", "copies"), "duplicate-members")
         chosen = self.members.where("id = rep").select("id", "sig")
         classes = sets.select("id", "sig", "size", "shingles").join(chosen, ["id", "sig"], "left_semi")
         classes = classes.dropDuplicates(["id"]).select("id", "size", "shingles")
         self.links = similar_sets(classes, threshold)
 
     def pairs(self, different: str | None = None) -> DataFrame:
-        """All similar pairs (a, b), a < b, of records; with different, only where that kept column differs (null never does)."""
+        """All similar pairs (a, b), a < b, of records; with different, only where that kept column differs (null never does).
+
+        Sets of very many copies meet in blocks of members, so no task makes all
+        pairs of one set. classes() has the same in one row a record.
+        """
         cols = [different] if different else []
-        left = self.members.select(F.col("id").alias("a"), F.col("rep").alias("rep_a"), *[F.col(c).alias("da") for c in cols])
-        right = self.members.select(F.col("id").alias("b"), F.col("rep").alias("rep_b"), *[F.col(c).alias("db") for c in cols])
-        test = (F.col("da") != F.col("db")) if cols else F.lit(True)
-        links = durable(self.links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b")), "duplicate-links")
-        across = links.join(left, "rep_a").join(right, "rep_b").where(test)
-        copies = left.join(right, (F.col("rep_a") == F.col("rep_b")) & (F.col("a") < F.col("b"))).where(test)
-        out = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-        return across.select(*out).unionByName(copies.select(*out))
+        members = self.members.select("id", "rep", *[F.col(c).alias("d") for c in cols])
+        test = (F.col("l.d") != F.col("r.d")) if cols else F.lit(True)
+        out = [F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")]
+        links = durable(self.links.select("a", "b"), "duplicate-links")
+        # Each record is asked under its own set and every set linked to it, and meets the members of that set.
+        sizes = self.members.where("id = rep").select("rep", F.col("copies").alias("n"))
+        out_of = links.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        sent = salted_join(links.withColumnRenamed("a", "rep"), members, "rep", out_of.join(sizes.withColumnRenamed("n", "m"), F.col("a") == F.col("rep")).select("rep", F.greatest("n", "m").alias("n")))
+        copied = self.members.where("copies > 1").select("id", F.col("rep").alias("to"), *[F.col(c).alias("d") for c in cols], F.lit(True).alias("same"))
+        asks = sent.select("id", F.col("b").alias("to"), *(["d"] if cols else []), F.lit(False).alias("same")).unionByName(copied)
+        left, right = met_in_blocks(asks, members.withColumnRenamed("rep", "to"), "to", "id")
+        once = ~F.col("l.same") | (F.col("l.id") < F.col("r.id"))
+        return left.alias("l").join(right.alias("r"), ["to", "_i", "_j"]).where(once & test).select(*out)
 
     def classes(self) -> DataFrame:
         """One row per record: (id, class_id, links).
@@ -178,14 +186,16 @@ class NearDuplicates:
         links the number of other records it is similar to, its copies included.
         """
         links = durable(self.links.select("a", "b"), "duplicate-links")
-        sizes = self.members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+        sizes = self.members.where("id = rep").select(F.col("id").alias("b"), "copies")
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        linked = both.join(sizes, both["b"] == sizes["rep"]).groupBy("a").agg(F.sum("copies").alias("linked"))
-        labels = components(links)
+        met = both.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+        linked = salted_join(both, sizes, "b", met).groupBy("a").agg(F.sum("copies").alias("linked")).withColumnRenamed("a", "rep")
+        labels = components(links).withColumnRenamed("node", "rep")
+        # One row a set, sent to the members.
+        facts = labels.join(linked, "rep", "full")
+        many = self.members.where("id = rep").select("rep", F.col("copies").alias("n"))
         return (
-            self.members.join(sizes, "rep")
-            .join(linked, F.col("rep") == F.col("a"), "left")
-            .join(labels, F.col("rep") == F.col("node"), "left")
+            salted_join(self.members.select("id", "rep", "copies"), facts, "rep", many, "left")
             .select(
                 "id",
                 F.coalesce("component", "rep").alias("class_id"),
@@ -204,10 +214,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "large-star")
+        large = salted_join(both.where("v > u"), least.drop("n"), "u", least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = durable(large, "large-star-edges")
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "small-star")
+        small = salted_join(large, least.drop("n"), "u", least).select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         edges = durable(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:

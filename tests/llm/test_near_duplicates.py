@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from folioscan.operators import skew
 from folioscan.llm.near_duplicates import NearDuplicates, brute_force_pairs, components, similar_sets
 
 
@@ -36,6 +37,21 @@ def test_pairs_equal_brute_force(spark):
         assert got == brute_force_pairs({i: shingles(x, k) for i, x in enumerate(rows)}, t)
 
 
+def test_hot_sets_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    rows = texts(5, 90)
+    rows += [rows[3]] * 25 + [rows[3] + f" w{i}" for i in range(25)]
+    df = spark.createDataFrame([(i, t, i % 4) for i, t in enumerate(rows)], "id long, text string, paper_id long")
+    found = NearDuplicates(df, "id", "text", k=3, threshold=0.6, keep=("paper_id",))
+    want = brute_force_pairs({i: shingles(x, 3) for i, x in enumerate(rows)}, 0.6)
+    got = [(r.a, r.b) for r in found.pairs().collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {(r.a, r.b) for r in found.pairs(different="paper_id").collect()} == {(a, b) for a, b in want if a % 4 != b % 4}
+    links = {r.id: r.links for r in found.classes().collect()}
+    assert all(n == sum(i in p for p in want) for i, n in links.items())
+
+
 def test_boundary_only_moves_cost(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = [set(rng.integers(0, 60, int(rng.integers(1, 30))).tolist()) for _ in range(80)]
