@@ -30,13 +30,17 @@ def hot_keys(counts: DataFrame, key: str, count: str = "n", hot_rows: int | None
     return top.select(key, F.ceil(F.col(count) / most).cast("int").alias("salts"))
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, how: str = "inner", count: str = "n", hot_rows: int | None = None) -> DataFrame:
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, how: str = "inner", count: str = "n", hot_rows: int | None = None, measure: bool = False) -> DataFrame:
     """rows joined with lookup on key, where a hot key's rows are spread over tasks and its lookup rows repeated for each.
 
     counts (key, count) says how many rows a key has; it may leave out keys with
     few. how is inner, left, left_semi or left_anti. The spread follows a hash of
-    the whole row, so exact repeats stay together. rows without a hot key are joined as usual.
+    the whole row, so exact repeats stay together. Without a hot key the join is as usual.
+    With measure, a lookup (cheap to count) that is small enough is broadcast instead.
     """
+    small = broadcast_if_small(lookup) if measure else lookup
+    if small is not lookup:
+        return rows.join(small, key, how)
     hot = hot_keys(counts, key, count, hot_rows)
     listed = hot.collect()
     if not listed:
@@ -48,6 +52,22 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame,
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def clustered_distinct(rows: DataFrame, key: str, spread: str, counts: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """The distinct rows, with _salt, after one shuffle by key; what is grouped by key and _salt, and more, then needs no other.
+
+    A hot key of counts (key, n) is cut into parts by a hash of spread, and its
+    repeats are first dropped where they are. Rows with a null key stay together.
+    """
+    hot = hot_keys(counts, key, hot_rows=hot_rows)
+    listed = hot.collect()
+    if not listed:
+        return rows.repartition(key).distinct().withColumn("_salt", F.lit(0))
+    tagged = rows.join(F.broadcast(rows.sparkSession.createDataFrame(listed, hot.schema)), key, "left")
+    salt = F.pmod(F.xxhash64(spread), F.coalesce("salts", F.lit(1))).cast("int")
+    calm, busy = tagged.where("salts is null"), tagged.where("salts is not null").distinct()
+    return calm.unionByName(busy).withColumn("_salt", salt).drop("salts").repartition(key, "_salt").distinct()
+
+
 def met_in_blocks(left: DataFrame, right: DataFrame, key: str, by: str, block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """left and right with two columns more, _i and _j, to be joined on key, _i and _j so that each pair of rows of one key meets once.
 
@@ -193,8 +213,7 @@ def key_quantiles(
         if open_.isEmpty():
             break
         asked = open_.groupBy(F.struct("key_field", "key_id").alias("k")).agg(F.collect_list(F.struct("f", "rows", "n", "rank", "lo", "hi")).alias("q"))
-        small = broadcast_if_small(durable(asked, "quantile-intervals"))
-        met = salted_join(held, small, "k", places)
+        met = salted_join(held, durable(asked, "quantile-intervals"), "k", places, measure=True)
         inside = met.withColumn("q", F.explode(F.filter("q", lambda x: F.col("v").between(x["lo"], x["hi"]))))
         inside = inside.select("k.*", "q.f", "q.rows", "q.n", "q.rank", "v", "c", _bin(F.col("v"), F.col("q.lo"), F.col("q.hi"), bins).alias("b"))
         hist = inside.groupBy("key_field", "key_id", "f", "rows", "n", "rank", "b").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.operators.skew import heavy_keys, hot_keys, key_quantiles, key_statistics, met_in_blocks, salted_join
+from folioscan.operators.skew import clustered_distinct, heavy_keys, hot_keys, key_quantiles, key_statistics, met_in_blocks, salted_join
 
 SCHEMA = "token_id long, chunk_id long, tf double"
 
@@ -86,3 +86,13 @@ def test_pairs_of_a_hot_key_meet_once_and_apart(spark, apart):
     assert left.join(right, ["k", "_i", "_j"]).count() == 1_500**2 + 500 * 9
     plain, _ = met_in_blocks(a, a, "k", "id", 10_000)
     assert plain.agg(F.max("_i"), F.max("_j"), F.count(F.lit(1))).first() == (0, 0, 3_001)
+
+
+def test_distinct_rows_of_a_hot_key_are_spread(spark, apart):
+    rows = hot_rows(spark).unionByName(hot_rows(spark)).unionByName(spark.createDataFrame([(None, 1), (None, 1)], "k long, x long"))
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for hot in (1_000, 1_000_000):
+        once = clustered_distinct(rows, "k", "x", counts, hot_rows=hot)
+        assert once.count() == 200_001 and once.select("k", "x").distinct().count() == 200_001
+        most = once.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert (most < 80_000) == (hot == 1_000)
