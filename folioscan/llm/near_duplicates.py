@@ -34,7 +34,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, min_words:
         lambda x, i: F.xxhash64(x, *[F.element_at(F.col("w"), i + 1 + j) for j in range(1, k)]),
     )
     rows = rows.select("id", *keep, F.array_sort(F.array_distinct(runs)).alias("shingles"))
-    rows = rows.withColumn("sig", F.md5(F.concat_ws(",", F.col("shingles").cast("array<string>"))))
+    # Two hashes of the whole set make its 128-bit signature.
+    rows = rows.withColumn("sig", F.concat_ws("-", F.xxhash64("shingles"), F.xxhash64(F.lit(k), "shingles")))
     return rows.select("id", *keep, "sig", F.size("shingles").alias("size"), "shingles")
 
 
@@ -153,8 +154,9 @@ class NearDuplicates:
         reps = slim.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         many = reps.select("sig", F.col("copies").alias("n"))
         self.members = durable(salted_join(slim, reps, "sig", many).select("id", *keep, "rep", "sig", "copies"), "duplicate-members")
-        chosen = self.members.where("id = rep").select("id", "sig")
-        classes = sets.select("id", "sig", "size", "shingles").join(chosen, ["id", "sig"], "left_semi")
+        # Sets are shuffled once, by id alone; the signature is compared after.
+        chosen = self.members.where("id = rep").select("id", F.col("sig").alias("_sig"))
+        classes = sets.select("id", "sig", "size", "shingles").join(chosen, "id").where("sig between _sig and _sig")
         classes = classes.dropDuplicates(["id"]).select("id", "size", "shingles")
         self.links = similar_sets(classes, threshold)
 

@@ -140,20 +140,37 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).documents().withColumnRenamed("id", "doc_id")
 
 
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return rep.graded(docs, "doc_id", "text", rep.fit_quality(docs, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    shares = rep.repetition(table(spark, d, "documents"), "doc_id", "text")
-    return shares.where("words > 0 and repeated * 10 >= words * 3").select(F.col("id").alias("doc_id"))
+    """Graded by the classifier and counted exactly in one pass; the exact share has the last word, since a probability is no share."""
+    return _graded(spark, d).where("words > 0 and repeated * 10 >= words * 3").select("doc_id")
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    shares = rep.repetition(table(spark, d, "documents"), "doc_id", "text")
+    shares = rep.graded(table(spark, d, "documents"), "doc_id", "text")
     return shares.select(F.col("id").alias("doc_id"), "words", "repeated", F.round("share", 9).alias("share"))
 
 
 def p10_quality(spark: SparkSession, d: str) -> DataFrame:
+    return _graded(spark, d).select("doc_id", "probability", "band")
+
+
+def p10_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Of documents the classifier was not fitted on, by tenths of its probability: their number, mean probability and the share that is repetitive."""
     docs = table(spark, d, "documents")
-    model = rep.fit_quality(docs, "doc_id", "text")
-    return rep.score_quality(docs, "doc_id", "text", model).withColumnRenamed("id", "doc_id")
+    n = docs.count()
+    fit_rows = min(rep.TRAIN_ROWS, n // 2)
+    model = rep.fit_quality(docs, "doc_id", "text", train_rows=fit_rows)
+    rows = rep.graded(docs, "doc_id", "text", model).withColumnRenamed("id", "doc_id").where(~rep.in_sample("doc_id", n, fit_rows))
+    rows = rows.withColumn("bad", (F.col("repeated") * 10 >= F.col("words") * 3) & (F.col("words") > 0))
+    tenth = F.least(F.lit(9), F.floor(F.col("probability") * 10)).cast("int").alias("tenth")
+    return rows.groupBy(tenth).agg(
+        F.count(F.lit(1)).alias("documents"), F.round(F.avg("probability"), 4).alias("probability"), F.round(F.avg(F.col("bad").cast("int")), 4).alias("repetitive")
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -161,7 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_classes, p2_found, p2_pieces, p2_coverage, p3_found, p3_clean, p3_tokens, p5_found, p5_weights, p6_found, p6_nearest,
-            p7_found, p7_terms, p8_found, p8_containers, p9_found, p9_shares, p9_documents, p10_found, p10_shares, p10_quality,
+            p7_found, p7_terms, p8_found, p8_containers, p9_found, p9_shares, p9_documents, p10_found, p10_shares, p10_quality, p10_calibration,
         )
     }
 
@@ -192,6 +209,16 @@ where m.max_repeats * coalesce(own.n, 0) < m.target_share * total.n
 """
 
 
+_RUNS = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, unnest(generate_series(1, len(w) - 4)) as i, w from w where len(w) >= 5),
+h as (select doc_id, i, row_number() over (partition by doc_id, w[i:i+4] order by i) as k from g),
+p as (select distinct doc_id, i + o.o as pos from h, (select unnest(range(5)) as o) o where k > 1),
+r as (select doc_id, count(*) as repeated from p group by 1),
+s as (select doc_id, len(w)::bigint as n, coalesce(repeated, 0)::bigint as repeated from w left join r using (doc_id))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": r"""
@@ -213,10 +240,6 @@ def oracle_sql() -> dict[str, str]:
         "p7_terms": f"{_TERMS} select * from b",
         "p8_found": f"select doc_id from documents where {_DUCK_TOKENS} > 2048",
         "p9_found": _MIX,
-        "p10_found": r"""
-            with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents where text is not null),
-            g as (select doc_id, len(w) as n, unnest(generate_series(1, len(w) - 4)) as i, w from w where len(w) >= 5),
-            h as (select doc_id, n, i, row_number() over (partition by doc_id, w[i:i+4] order by i) as k from g),
-            p as (select distinct doc_id, n, i + o.o as pos from h, (select unnest(range(5)) as o) o where k > 1)
-            select doc_id from p group by doc_id, n having count(*) * 10 >= n * 3""",
+        "p10_found": f"{_RUNS} select doc_id from s where n > 0 and repeated * 10 >= n * 3",
+        "p10_shares": f"{_RUNS} select doc_id, n as words, repeated, round(repeated / greatest(n, 1), 9) as share from s",
     }

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.runtime import durable
+
 _WORD_GAPS = r"[^\p{L}\p{N}]+"
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
@@ -21,8 +22,8 @@ FEATURES = 1 << 12
 TRAIN_ROWS = 4_000
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the lower-cased words of all texts, equal for equal words, and the offsets of each text in them."""
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of the lower-cased words of all texts, equal for equal words, the offsets of each text in them, and the words by code."""
     clean = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.fill_null(texts, ""), _WORD_GAPS, " "))
     lists = pc.split_pattern(pc.utf8_lower(clean), " ")
     words = lists.flatten()
@@ -33,7 +34,7 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(lengths)), lengths)[~empty]
     offsets = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(np.bincount(doc, minlength=len(lengths)), out=offsets[1:])
-    return ids[~empty], offsets
+    return ids[~empty], offsets, codes.dictionary
 
 
 def repeated_positions(codes: np.ndarray, offsets: np.ndarray, run: int = 5) -> np.ndarray:
@@ -58,30 +59,7 @@ def repeated_positions(codes: np.ndarray, offsets: np.ndarray, run: int = 5) ->
     return np.cumsum(covered)[:n] > 0
 
 
-def repetition(docs: DataFrame, id_col: str, text_col: str, run: int = 5) -> DataFrame:
-    """(id, words, repeated, share): word positions, those in a run that occurred before, and their share.
-
-    A word is a maximal run of letters or digits, lower-cased. A text that is
-    null, empty or shorter than a run has share 0. Every row has a result, also
-    one with a null or repeated id. Whole texts are scored in Arrow batches; no shuffle.
-    """
-    schema = f"id {dict(docs.select(F.col(id_col).alias('id')).dtypes)['id']}, words long, repeated long, share double"
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, offsets = word_codes(batch.column("text"))
-            flags = np.concatenate([[0], np.cumsum(repeated_positions(codes, offsets, run))])
-            words, repeated = np.diff(offsets), np.diff(flags[offsets])
-            share = repeated / np.maximum(words, 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(words), pa.array(repeated.astype(np.int64)), pa.array(share)],
-                names=["id", "words", "repeated", "share"],
-            )
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, schema)
-
-
-def _rolling(codes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(codes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams and the text each is in."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     starts = np.flatnonzero(doc[: max(0, len(codes) - n + 1)] == doc[n - 1 :]) if len(codes) >= n else np.empty(0, np.int64)
@@ -93,49 +71,33 @@ def _rolling(codes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return key, doc[starts]
 
 
-def _stable_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes that are the same in every batch."""
-    out, offsets, known = [], [0], {}
-    for text in texts:
-        for w in re.findall(r"[^\W_]+", (text or "").lower()):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = crc32(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        offsets.append(len(out))
-    return np.array(out, dtype=np.int64), np.array(offsets, dtype=np.int64)
-
-
-def _stable_chars(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in texts]
-    return np.concatenate(parts) if parts else np.empty(0, np.int64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-
-
-def features(texts: list[str]) -> np.ndarray:
-    """Hashed n-gram features, a row a text: signed buckets of word 1- and 2-grams and character 4-grams, each
-    n-gram counted by the log of its repeats, and for word 1- to 5-grams and character 12-grams the share of repeats."""
-    x = np.zeros((len(texts), FEATURES + 6), dtype=np.float32)
-    words, chars = _stable_words(texts), _stable_chars(texts)
-    grams = [(words, n, n <= 2) for n in range(1, 6)] + [(chars, 12, False)]
-    for col, (source, n, hashed) in enumerate([*grams, (chars, 4, True)]):
-        key, doc = _rolling(*source, n)
+def _chars(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts and the offsets of each text in them."""
+    plain = pc.fill_null(texts, "")
+    joined = "".join(plain.to_pylist()).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(joined, np.uint32).astype(np.int64), np.concatenate([[0], np.cumsum(pc.utf8_length(plain).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def features(texts: pa.Array, coded: tuple[np.ndarray, np.ndarray, pa.Array] | None = None) -> np.ndarray:
+    """Hashed n-grams, a row a text: word 1-, 2- and 3-grams and character 8-grams, each in a bucket of its hash.
+
+    A bucket adds up how often its n-grams come again, as a share of the text's n-grams of that length. No feature
+    looks at runs of five words, of which the label is made.
+    """
+    codes, offsets, words = coded or word_codes(texts)
+    stable = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words.to_pylist()], dtype=np.int64)
+    x = np.zeros((len(texts), FEATURES), dtype=np.float32)
+    spelled = stable[codes] if len(codes) else codes
+    for source, n in (((spelled, offsets), 1), ((spelled, offsets), 2), ((spelled, offsets), 3), (_chars(texts), 8)):
+        key, doc = _grams(*source, n)
         if not len(key):
             continue
-        pair = np.lexsort((key, doc))
-        key, doc = key[pair], doc[pair]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(key)))
-        if col < 6:
-            total = np.bincount(doc, minlength=len(texts))
-            once = np.bincount(doc[first], minlength=len(texts))
-            x[:, FEATURES + col] = 1 - once / np.maximum(total, 1)
-        if hashed:
-            bucket = (key[first] % np.uint64(FEATURES)).astype(np.int64)
-            sign = np.where((key[first] >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-            np.add.at(x, (doc[first], bucket), sign * np.log1p(count - 1))
-    norm = np.linalg.norm(x[:, :FEATURES], axis=1, keepdims=True)
-    x[:, :FEATURES] /= np.maximum(norm, 1.0)
+        total = np.bincount(doc, minlength=len(texts))
+        with np.errstate(over="ignore"):
+            own = np.sort((key & np.uint64((1 << 44) - 1)) | (doc.astype(np.uint64) << np.uint64(44)))
+        again = own[1:][own[1:] == own[:-1]]
+        row = (again >> np.uint64(44)).astype(np.int64)
+        np.add.at(x, (row, ((again ^ (again >> np.uint64(17))) % np.uint64(FEATURES)).astype(np.int64)), (20.0 / total[row]).astype(np.float32))
     return x
 
 
@@ -145,61 +107,93 @@ class QualityModel:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float):
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
 
-    def probability(self, texts: list[str]) -> np.ndarray:
-        z = features(texts) @ self.weights + self.bias
+    def probability(self, texts: pa.Array, coded: tuple[np.ndarray, np.ndarray, pa.Array] | None = None) -> np.ndarray:
+        z = features(texts, coded) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -40, 40)))
 
     @classmethod
-    def fit(cls, texts: list[str], labels: np.ndarray, seed: int = 11, rounds: int = 250, penalty: float = 1e-4) -> QualityModel:
+    def fit(cls, texts: pa.Array, labels: np.ndarray, seed: int = 11, rounds: int = 250, penalty: float = 1e-4) -> QualityModel:
+        """Fit on three quarters of the rows, scale on the others. Without rows, everything is clean."""
         labels = labels.astype(float)
         if not len(labels):
-            return cls(np.zeros(FEATURES + 6), 0.0, 1.0, -10.0)
+            return cls(np.zeros(FEATURES), 0.0, 1.0, -10.0)
         held = np.random.default_rng(seed).random(len(labels)) < 0.25
-        x = features(texts)
+        x = np.concatenate([features(texts.slice(i, 256)) for i in range(0, len(texts), 256)])
         a, y = x[~held], labels[~held]
-        w, b, step = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1) + 1e-8
+        # All buckets start as evidence of repetition; those of common words learn that they are none.
+        w, b, step = np.full(x.shape[1], 0.1), -1.0, np.zeros(x.shape[1] + 1) + 1e-8
         balance = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) if len(y) else y
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(a @ w + b, -40, 40)))
             g = (p - y) * balance
             grad = np.append(a.T @ g + penalty * w, g.sum())
             step += grad**2
-            move = 0.5 * grad / np.sqrt(step)
+            move = 0.1 * grad / np.sqrt(step)
             w, b = w - move[:-1], b - move[-1]
         z, y = x[held] @ w + b, labels[held]
         slope, offset = 1.0, 0.0
-        for _ in range(300 if len(y) else 0):
-            e = 1 / (1 + np.exp(-np.clip(slope * z + offset, -40, 40))) - y
-            slope, offset = slope - 0.1 * float((e * z).mean()), offset - 0.1 * float(e.mean())
-        return cls(w, float(b), slope, offset)
+        # Newton steps of Platt's two parameters.
+        for _ in range(50 if len(y) else 0):
+            p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -40, 40)))
+            g = np.array([((p - y) * z).sum() + 1e-3 * (slope - 1), (p - y).sum()])
+            v = p * (1 - p)
+            h = np.array([[(v * z * z).sum(), (v * z).sum()], [(v * z).sum(), v.sum()]]) + np.eye(2) * 1e-3
+            move = np.linalg.solve(h, g)
+            slope, offset = slope - float(np.clip(move[0], -1, 1)), offset - float(np.clip(move[1], -1, 1))
+        return cls(w.astype(np.float32), float(b), slope, offset)
+
+
+def _shares(texts: pa.Array, run: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    coded = word_codes(texts)
+    flags = np.concatenate([[0], np.cumsum(repeated_positions(*coded[:2], run))])
+    return np.diff(coded[1]), np.diff(flags[coded[1]]).astype(np.int64), coded
 
 
-def fit_quality(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.30, train_rows: int = TRAIN_ROWS) -> QualityModel:
-    """Fit the classifier on at most train_rows rows, chosen by a hash of the id and labelled by the exact share.
+def in_sample(id_col: str, n_docs: int, train_rows: int) -> Column:
+    """Whether a document may be one of those the classifier is fitted on."""
+    share = min(1.0, 0.9 * train_rows / max(1, n_docs))
+    return F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
 
-    Only the fit uses a sample; repetition() and score_quality() cover all rows.
+
+def fit_quality(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.30, train_rows: int = TRAIN_ROWS, run: int = 5) -> QualityModel:
+    """Fit the classifier on at most train_rows documents, chosen and put in order by a hash of the id.
+
+    The tables hold no quality labels, so a document is labelled by its exact
+    share. A repeated id counts once, with its least text. Only the fit uses a
+    sample; graded() covers all rows.
+    """
+    part = docs.where(in_sample(id_col, docs.count(), train_rows) & F.col(text_col).isNotNull())
+    part = part.groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
+    chosen = durable(part.orderBy(F.xxhash64("id"), "id").limit(train_rows), "quality-rows")
+    texts = pa.array([r["text"] for r in chosen.orderBy(F.xxhash64("id"), "id").collect()], pa.string())
+    words, repeated, _ = _shares(texts, run)
+    return QualityModel.fit(texts, repeated >= threshold * np.maximum(words, 1))
+
+
+def graded(docs: DataFrame, id_col: str, text_col: str, model: QualityModel | None = None, run: int = 5, cuts: tuple[float, float] = (0.2, 0.8)) -> DataFrame:
+    """(id, words, repeated, share, probability, band) of every row.
+
+    words are the word positions, repeated those in a run of run words that
+    occurred before, share their quotient. probability is the classifier's, band
+    clean, doubtful or repetitive by the two fixed cuts; both null without a model.
+    A word is a maximal run of letters or digits, lower-cased. A text that is
+    null, empty or shorter than a run has share 0. Every row has a result, also
+    one with a null or repeated id. Whole texts are scored in Arrow batches; no shuffle.
     """
-    share = min(1.0, 0.9 * train_rows / max(1, docs.count()))
-    chosen = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))
-    part = docs.where(F.col(text_col).isNotNull() & chosen).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    part = part.dropDuplicates(["id"]).limit(train_rows)
-    labelled = repetition(part, "id", "text").select("id", (F.col("share") >= threshold).alias("bad"))
-    rows = part.join(labelled, "id").orderBy("id").collect()
-    return QualityModel.fit([r["text"] for r in rows], np.array([r["bad"] for r in rows], dtype=bool))
-
-
-def score_quality(docs: DataFrame, id_col: str, text_col: str, model: QualityModel, cuts: tuple[float, float] = (0.2, 0.8)) -> DataFrame:
-    """(id, probability, band) of every row; band is clean, doubtful or repetitive by the two fixed cuts."""
-    schema = f"id {dict(docs.select(F.col(id_col).alias('id')).dtypes)['id']}, probability double"
+    schema = f"id {dict(docs.select(F.col(id_col).alias('id')).dtypes)['id']}, words long, repeated long, share double, probability double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                p = shared.value.probability(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(p.astype(float))], names=["id", "probability"])
+                words, repeated, coded = _shares(part.column("text"), run)
+                p = shared.value.probability(part.column("text"), coded) if shared.value else None
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(words), pa.array(repeated), pa.array(repeated / np.maximum(words, 1)), pa.array(p.astype(float)) if p is not None else pa.nulls(len(words), pa.float64())],
+                    names=["id", "words", "repeated", "share", "probability"],
+                )
 
     scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, schema)
-    band = F.when(F.col("probability") < cuts[0], "clean").when(F.col("probability") >= cuts[1], "repetitive").otherwise("doubtful")
+    band = F.when(F.col("probability") < cuts[0], "clean").when(F.col("probability") >= cuts[1], "repetitive").when(F.col("probability").isNotNull(), "doubtful")
     return scored.withColumn("band", band)

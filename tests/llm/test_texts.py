@@ -1,7 +1,6 @@
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -128,23 +127,51 @@ def shares(text, run=5):
 @given(st.lists(st.lists(st.sampled_from(["a", "B", "b", "é", "x1", "--", "c_d"]), max_size=40), max_size=6))
 def test_repetition_equals_brute_force(docs):
     texts = [" ".join(d) for d in docs]
-    codes, offsets = rep.word_codes(pa.array(texts, pa.string()))
+    codes, offsets, _ = rep.word_codes(pa.array(texts, pa.string()))
     flags = np.concatenate([[0], np.cumsum(rep.repeated_positions(codes, offsets))])
     assert list(zip(np.diff(offsets), np.diff(flags[offsets]))) == [shares(t) for t in texts]
 
 
 def test_repetition_rows(spark):
     rows = [(1, "a b c d e " * 20_000), (2, None), (3, ""), (None, "one two"), (4, "a b c d e f"), (4, "a b c d e f")]
-    out = rep.repetition(spark.createDataFrame(rows, "id long, t string"), "id", "t").toPandas().sort_values(["id", "words"])
+    out = rep.graded(spark.createDataFrame(rows, "id long, t string"), "id", "t").toPandas().sort_values(["id", "words"])
     assert out["share"].round(4).tolist() == [1.0, 0.0, 0.0, 0.0, 0.0, 0.0] and len(out) == 6
 
 
-def test_quality_model():
-    rng = np.random.default_rng(0)
-    good = [" ".join(f"w{x}" for x in rng.integers(0, 900, 150)) for _ in range(250)]
-    bad = [" ".join((" ".join(f"w{x}" for x in rng.integers(0, 900, 15)) + " ") * 9 for _ in range(1)) for _ in range(120)]
-    texts, labels = good[:200] + bad[:90], np.array([0] * 200 + [1] * 90)
-    model = rep.QualityModel.fit(texts, labels)
-    p = model.probability(good[200:] + bad[90:] + ["", None])
-    assert ((p[:-2] >= 0.5) == np.array([0] * 50 + [1] * 30)).mean() > 0.95 and np.isfinite(p).all()
-    assert pd.Series(p).between(0, 1).all()
+def quality_texts(seed, n):
+    """Documents over a common vocabulary, a third of which say one or two sentences again and again between others."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        words = [f"w{x}" for x in np.minimum(rng.zipf(1.3, 160), 900)]
+        if i % 3 == 0:
+            line = words[: int(rng.integers(8, 25))]
+            for _ in range(int(rng.integers(2, 9))):
+                at = int(rng.integers(len(words)))
+                words[at:at] = line
+        out.append(" ".join(words))
+    return out
+
+
+def test_quality_model_on_held_out_documents():
+    texts, other = quality_texts(0, 900), quality_texts(1, 400)
+    label = lambda t: np.array([b >= 0.3 * a for a, b in map(shares, t)])
+    model = rep.QualityModel.fit(pa.array(texts), label(texts))
+    p = np.concatenate([model.probability(pa.array(other[i : i + 100])) for i in range(0, 400, 100)])
+    want = label(other)
+    assert ((p >= 0.5) == want).mean() > 0.9 and abs(p.mean() - want.mean()) < 0.05
+    edge = model.probability(pa.array(["", None], pa.string()))
+    assert np.isfinite(edge).all() and (edge < 0.5).all()
+    assert rep.QualityModel.fit(pa.array([], pa.string()), np.array([])).probability(pa.array(["a"]))[0] < 0.01
+
+
+def test_graded_rows(spark):
+    rows = list(enumerate(quality_texts(2, 300))) + [(None, "x"), (5, "again"), (1000, None), (1001, "")]
+    docs = spark.createDataFrame(rows, "id long, t string").selectExpr("*", "1 as words", "2 as probability", "3 as band")
+    model = rep.fit_quality(docs, "id", "t", train_rows=100)
+    again = rep.fit_quality(docs.repartition(7), "id", "t", train_rows=100)
+    assert (model.weights == again.weights).all() and model.offset == again.offset
+    out = rep.graded(docs, "id", "t", model).toPandas()
+    assert len(out) == len(rows) and out["probability"].between(0, 1).all() and set(out["band"]) <= {"clean", "doubtful", "repetitive"}
+    empty = docs.where("false")
+    assert rep.graded(empty, "id", "t", rep.fit_quality(empty, "id", "t")).count() == 0
