@@ -6,8 +6,6 @@ so all of them stay in the JVM and fold into the surrounding plan.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -242,14 +240,3 @@ def authors_line(authors: Column, shown: int = 4) -> Column:
     names = F.coalesce(authors, _empty())
     more = F.when(F.size(names) > shown, F.concat(F.lit(" +"), (F.size(names) - shown).cast("string"))).otherwise("")
     return F.concat(F.array_join(F.slice(names, 1, shown), ", "), more)
-
-
-def strip_tex(s: Column) -> Column:
-    """LaTeX for display: a command gives its argument or a space, braces go, white space collapses."""
-    s = F.regexp_replace(s, r"\\[a-zA-Z@]+\*?\s*(?:\[[^\]]*\])?\s*\{([^}]*)\}", "$1")
-    s = F.regexp_replace(s, r"\\[a-zA-Z@]+\*?\s*(?:\[[^\]]*\])?", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, "[{}]", " "), r"(?U)\s+", " "))
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))

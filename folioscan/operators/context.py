@@ -10,13 +10,16 @@ from pyspark.sql.window import Window
 
 from folioscan.functions import text as T
 from folioscan.operators.indexing import Index
-from folioscan.operators.search import SearchOptions, _weighted, candidates, first_of, known_terms
+from folioscan.operators.search import SearchOptions, _weighted, candidates, first_of, hits, known_terms
 from folioscan.runtime import broadcast_if_small, durable
 
 #: Neighbouring order values whose rows one task adds up.
 _BUCKET = 4096
+# The words around excerpts in a prompt and in a summary without a model.
 _INTRO = "You are a careful assistant. Read the following excerpts to answer the user's question. Cite papers as [paperId].\n\n"
 _OUTRO = "\n\nAnswer succinctly with citations like [paperId]."
+_OFFLINE_HEAD = "Offline mode: LLM unavailable. Showing excerpts related to your question.\n"
+_OFFLINE_TAIL = "\nTip: Save an OpenAI API key in Settings to enable full answers."
 
 
 def rag_select(
@@ -31,15 +34,15 @@ def rag_select(
     """
     o = SearchOptions(no_filter=True, max_candidates=max(2000, top_papers * chunks_per_paper * 20), most_candidates=1 << 30)
     vectors = _weighted(known_terms(index, queries, o).where("token_id is not null"), index.n_chunks, 12, None)
-    vectors = broadcast_if_small(durable(vectors, "query-vectors"), 96)
+    vectors = broadcast_if_small(durable(vectors, "query-vectors"))
     where = index.chunks.select("chunk_id", "paper_id").join(index.papers.select("paper_id", "arxiv_id"), "paper_id", "left")
     if client_papers is None:
         found = candidates(index, vectors, o).join(where, "chunk_id")
         first = F.min("_o").over(Window.partitionBy("query_id", "paper_id"))
     else:
         chosen = client_papers.groupBy("query_id", "arxiv_id").agg(F.min("pos").alias("_pos"))
-        hits = index.postings.join(vectors.where("chosen").select("query_id", "token_id"), "token_id").join(where, "chunk_id")
-        counts = hits.join(chosen, ["query_id", "arxiv_id"]).groupBy("query_id", "chunk_id", "paper_id", "arxiv_id", "_pos")
+        found = hits(index, vectors.where("chosen").select("query_id", "token_id"), o).join(where, "chunk_id")
+        counts = found.join(chosen, ["query_id", "arxiv_id"]).groupBy("query_id", "chunk_id", "paper_id", "arxiv_id", "_pos")
         found = first_of(counts.agg(F.count(F.lit(1)).alias("matches")), o.max_candidates)
         first = F.col("_pos")
     q = Window.partitionBy("query_id")
@@ -93,12 +96,15 @@ def running_total(rows: DataFrame, group: str, order: str, value: str, name: str
     return bucketed.withColumn("_w", within).join(sums, [group, "_b"]).withColumn(name, F.col("_from") + F.col("_w")).drop("_b", "_w", "_from")
 
 
-def paper_texts(index: Index, max_chars: int) -> DataFrame:
-    """(paper_id, text, total_chars): the chunks of each paper in id order with blank lines between, cut at max_chars.
+def paper_texts(index: Index, max_chars: int, only: DataFrame | None = None) -> DataFrame:
+    """(paper_id, text, total_chars): the chunks of each paper, or of those in only (paper_id), in id order with blank lines between, cut at max_chars.
 
-    Chunks wholly beyond the cut are left out before any text moves.
+    Chunks of other papers and chunks wholly beyond the cut are left out before any text moves.
     """
-    texts = index.chunks.select("paper_id", "chunk_id", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text"))
+    chunks = index.chunks
+    if only is not None:
+        chunks = chunks.join(broadcast_if_small(durable(only.select("paper_id").where("paper_id is not null").distinct(), "asked-papers")), "paper_id", "left_semi")
+    texts = chunks.select("paper_id", "chunk_id", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text"))
     texts = texts.where(F.length("text") > 0).withColumn("n", F.length("text").cast("long") + 2)
     upto = running_total(texts.select("paper_id", "chunk_id", "n"), "paper_id", "chunk_id", "n", "upto")
     total = upto.groupBy("paper_id").agg((F.max("upto") - 2).alias("total_chars"))
@@ -125,7 +131,7 @@ def chat_context(index: Index, attached: DataFrame, token_budget: int = 6000, la
     budget = max(least_chars, 4 * token_budget)
     ids = index.papers.groupBy("arxiv_id").agg(F.min("paper_id").alias("paper_id"))
     wanted = attached.select("session_id", "seq", "arxiv_id").join(ids, "arxiv_id", "left")
-    chunks = paper_texts(index, budget).withColumnRenamed("text", "chunk_text").withColumnRenamed("total_chars", "chunk_chars")
+    chunks = paper_texts(index, budget, wanted).withColumnRenamed("text", "chunk_text").withColumnRenamed("total_chars", "chunk_chars")
     rows = wanted.join(chunks, "paper_id", "left")
     if latex is not None:
         rows = rows.join(latex.select("arxiv_id", F.trim("text").alias("latex_text")), "arxiv_id", "left")
@@ -160,12 +166,13 @@ def prompts(packed: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def offline_summary(packed: DataFrame, max_chars: int = 900) -> DataFrame:
-    """(query_id, summary): a bullet for each of the first three blocks, white space collapsed, at most max_chars of each."""
+    """(query_id, summary): between an opening and a closing line a bullet for each of the first three blocks, white space collapsed, at most max_chars of each."""
     text = F.substring(F.trim(F.regexp_replace("sent", r"(?U)\s+", " ")), 1, max_chars)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("paper_rank"))
     first = packed.withColumn("_r", nth).where("_r <= 3").withColumn("_b", F.format_string("- [%s] %s...", F.col("arxiv_id"), text))
     lines = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("paper_rank", "_b"))).alias("t"))
-    return lines.select("query_id", F.array_join("t._b", "\n").alias("summary"))
+    summary = F.concat_ws("\n", F.lit(_OFFLINE_HEAD), F.array_join("t._b", "\n"), F.lit(_OFFLINE_TAIL))
+    return lines.select("query_id", summary.alias("summary"))
 
 
 def previews(packed: DataFrame, head: int = 800) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscan.functions import text as T
-from folioscan.runtime import broadcast_if_small, durable
+from folioscan.operators.skew import salted_join
+from folioscan.runtime import _file_system, broadcast_if_small, durable
 
 
 def idf(n_chunks: Column | int, df: Column) -> Column:
@@ -24,8 +25,10 @@ class Index:
 
     tokens (token_id, term, df), papers (paper_id, arxiv_id, title, year, path),
     chunks (chunk_id, paper_id, kind, text, norm, dl), postings (token_id,
-    chunk_id, tf). n_chunks counts chunks that bear tokens, avgdl is their mean
-    sum of tf.
+    chunk_id, tf, dl, part). n_chunks counts chunks that bear tokens, avgdl is
+    their mean sum of tf. Postings carry their chunk's length, so that they can be
+    scored as they are read, and lie in parts folders by a hash of the token,
+    sorted by token: a query reads its tokens' folders only.
     """
 
     tokens: DataFrame
@@ -34,6 +37,7 @@ class Index:
     postings: DataFrame
     n_chunks: int
     avgdl: float
+    parts: int = 1
     tables: tuple[str, ...] = field(default=("tokens", "papers", "chunks", "postings"), repr=False)
 
     def save(self, path: str) -> None:
@@ -42,9 +46,17 @@ class Index:
         self.tokens.write.parquet(f"{path}/tokens")
         self.papers.write.parquet(f"{path}/papers")
         self.chunks.write.parquet(f"{path}/chunks")
-        # Sorted by token, a lookup of few tokens reads only the row groups whose range holds them.
-        self.postings.repartitionByRange("token_id", "chunk_id").sortWithinPartitions("token_id", "chunk_id").write.parquet(f"{path}/postings")
-        spark.createDataFrame([(self.n_chunks, self.avgdl)], "n_chunks long, avgdl double").coalesce(1).write.parquet(f"{path}/stats")
+        _laid_out(self.postings, self.parts).write.partitionBy("part").parquet(f"{path}/postings")
+        spark.createDataFrame([(self.n_chunks, self.avgdl, self.parts)], "n_chunks long, avgdl double, parts int").coalesce(1).write.parquet(f"{path}/stats")
+
+    def postings_of(self, token_ids: list[int] | None) -> DataFrame:
+        """Postings of the given tokens; of all if None. Folders of other tokens are not read, nor row groups of other ranges."""
+        if token_ids is None:
+            return self.postings
+        spark = self.postings.sparkSession
+        ids = spark.createDataFrame([(t,) for t in token_ids], "t long")
+        parts = [r[0] for r in ids.select(_part(F.col("t"), self.parts)).distinct().collect()]
+        return self.postings.where(F.col("part").isin(parts) & F.col("token_id").isin(token_ids))
 
     def register(self, prefix: str = "") -> None:
         """Temporary views of the four tables for SQL."""
@@ -53,24 +65,41 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        n, avgdl = spark.read.parquet(f"{path}/stats").first()
+        n, avgdl, parts = spark.read.parquet(f"{path}/stats").first()
         read = {t: spark.read.parquet(f"{path}/{t}") for t in ("tokens", "papers", "chunks", "postings")}
-        return cls(read["tokens"], read["papers"], read["chunks"], read["postings"], n, avgdl)
+        return cls(read["tokens"], read["papers"], read["chunks"], read["postings"], n, avgdl, parts)
+
+
+#: Postings of one folder, about, and the most folders.
+PART_ROWS = 2_000_000
+MOST_PARTS = 1_024
+
+
+def _part(token_id: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(token_id), F.lit(parts)).cast("int")
+
+
+def _laid_out(postings: DataFrame, parts: int) -> DataFrame:
+    """postings with part, in files of one part each; a part that one token fills is split over tasks."""
+    rows = postings.withColumn("part", _part(F.col("token_id"), parts))
+    return rows.hint("rebalance", "part").sortWithinPartitions("part", "token_id", "chunk_id")
 
 
 def _finish(tokens: DataFrame, papers: DataFrame, chunks: DataFrame, postings: DataFrame) -> Index:
     """Document frequencies, norms and lengths over clean tables; chunks without postings drop out."""
-    df = postings.groupBy("token_id").agg(F.count(F.lit(1)).alias("df"))
+    df = durable(postings.groupBy("token_id").agg(F.count(F.lit(1)).alias("df")), "token-df")
     tokens = durable(tokens.join(df, "token_id", "left").select("token_id", "term", F.coalesce("df", F.lit(0)).cast("long").alias("df")), "tokens")
-    sums = postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    lengths = durable(sums, "lengths")
-    n, total = lengths.agg(F.count(F.lit(1)), F.sum("dl")).first()
+    lengths = durable(postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"), F.count(F.lit(1)).alias("n")), "lengths")
+    n, total, rows = lengths.agg(F.count(F.lit(1)), F.sum("dl"), F.sum("n")).first()
     weight = (1 + F.log("tf")) * idf(n, F.col("df"))
-    weighted = postings.join(broadcast_if_small(tokens.select("token_id", "df"), 24), "token_id")
+    weighted = salted_join(postings, df, "token_id", df, count="df", measure=True)
     norms = weighted.groupBy("chunk_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    measured = norms.join(lengths, "chunk_id").withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
-    chunks = chunks.join(measured, "chunk_id").select("chunk_id", "paper_id", "kind", "text", "norm", "dl")
-    return Index(tokens, papers, durable(chunks, "chunks"), postings, int(n), float(total or 0.0) / max(1, n))
+    measured = norms.join(lengths.drop("n"), "chunk_id").withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
+    chunks = durable(chunks.join(measured, "chunk_id").select("chunk_id", "paper_id", "kind", "text", "norm", "dl"), "chunks")
+    parts = max(1, min(MOST_PARTS, -(-(rows or 0) // PART_ROWS)))
+    stored = salted_join(postings, lengths.select("chunk_id", "dl"), "chunk_id", lengths, measure=True)
+    laid = durable(_laid_out(stored.select("token_id", "chunk_id", "tf", "dl"), parts), "postings", "part")
+    return Index(tokens, papers, chunks, laid, int(n), float(total or 0.0) / max(1, n), parts)
 
 
 def unique_papers(paper: DataFrame) -> DataFrame:
@@ -104,11 +133,12 @@ def index_from_tables(paper: DataFrame, chunk: DataFrame, token: DataFrame, post
     tokens = durable(first.select("token_id", "term"), "terms")
     ids = durable(named.join(first, "term").select("id", "token_id").distinct(), "term-ids")
     facts = posting.where("token_id is not null and chunk_id is not null and tf > 0").select("token_id", "chunk_id", "tf").distinct()
+    facts = durable(facts, "facts")
     chunks = durable(unique_chunks(chunk), "unique-chunks")
-    known = broadcast_if_small(chunks.select("chunk_id"), 16)
+    known = broadcast_if_small(chunks.select("chunk_id"))
+    per_id = durable(facts.groupBy(F.col("token_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "token-rows")
     postings = (
-        facts.withColumnRenamed("token_id", "id")
-        .join(broadcast_if_small(ids, 24), "id")
+        salted_join(facts.withColumnRenamed("token_id", "id"), ids, "id", per_id, measure=True)
         .join(known, "chunk_id", "left_semi")
         .groupBy("token_id", "chunk_id")
         .agg(F.sum("tf").alias("tf"))
@@ -130,13 +160,50 @@ def index_from_chunks(chunks: DataFrame) -> Index:
     order = [F.col("arxiv_id"), F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("_n"), F.col("id")]
     keys = dense_ids(rows.select(*order), ["arxiv_id", "_n", "id"], "chunk_id").drop("_n")
     body = durable(rows.join(keys, ["arxiv_id", "id"]).join(papers, "arxiv_id"), "numbered-chunks")
-    tf = body.select("chunk_id", F.explode("tokens").alias("term")).where("term is not null").groupBy("chunk_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    tf = durable(tf, "term-frequencies")
+    tf = _term_frequencies(body)
     tokens = durable(dense_ids(tf.select("term").distinct(), ["term"], "token_id"), "terms")
-    postings = durable(tf.join(broadcast_if_small(tokens, 48), "term").select("token_id", "chunk_id", "tf"), "postings")
     null = F.lit(None)
     papers = papers.select("paper_id", "arxiv_id", null.cast("string").alias("title"), null.cast("int").alias("year"), null.cast("string").alias("path"))
-    return _finish(tokens.select("token_id", "term"), papers, body.select("chunk_id", "paper_id", "kind", "text"), postings)
+    return _finish(tokens.select("token_id", "term"), papers, body.select("chunk_id", "paper_id", "kind", "text"), _postings(tf, tokens))
+
+
+def _term_frequencies(body: DataFrame) -> DataFrame:
+    terms = body.select("chunk_id", F.explode("tokens").alias("term")).where("term is not null")
+    return durable(terms.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")), "term-frequencies")
+
+
+def _postings(tf: DataFrame, tokens: DataFrame) -> DataFrame:
+    rows = durable(tf.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-rows")
+    named = salted_join(tf, tokens.select("token_id", "term"), "term", rows, measure=True)
+    return durable(named.select("token_id", "chunk_id", "tf"), "postings")
+
+
+def extend(index: Index, chunks: DataFrame) -> Index:
+    """index with the chunk records of papers that it lacks: only these are tokenised and numbered, after the ids there are.
+
+    Postings of old chunks are carried over as they are; df, norms and mean
+    length are counted anew, since every new chunk changes them. Records are
+    taken as in index_from_chunks.
+    """
+    rows = chunks.select("arxiv_id", "id", T.clean_kind(F.col("kind")).alias("kind"), "text", "tokens")
+    rows = rows.where(F.col("arxiv_id").isNotNull() & F.col("id").isNotNull() & (F.size("tokens") > 0))
+    fresh = durable(rows.join(index.papers.select("arxiv_id"), "arxiv_id", "left_anti").dropDuplicates(["arxiv_id", "id"]), "fresh-records")
+    last = {c: t.agg(F.max(c)).first()[0] or 0 for t, c in ((index.papers, "paper_id"), (index.chunks, "chunk_id"), (index.tokens, "token_id"))}
+
+    def after(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn(name, F.col(name) + F.lit(last[name]))
+
+    papers = after(dense_ids(fresh.select("arxiv_id").distinct(), ["arxiv_id"], "paper_id"), "paper_id")
+    order = [F.col("arxiv_id"), F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("_n"), F.col("id")]
+    keys = after(dense_ids(fresh.select(*order), ["arxiv_id", "_n", "id"], "chunk_id").drop("_n"), "chunk_id")
+    body = durable(fresh.join(keys, ["arxiv_id", "id"]).join(papers, "arxiv_id"), "numbered-chunks")
+    tf = _term_frequencies(body)
+    unknown = tf.select("term").distinct().join(index.tokens, "term", "left_anti")
+    tokens = index.tokens.select("token_id", "term").unionByName(after(dense_ids(unknown, ["term"], "token_id"), "token_id"))
+    tokens = durable(tokens, "terms")
+    postings = index.postings.select("token_id", "chunk_id", "tf").unionByName(_postings(tf, tokens))
+    every = index.chunks.select("chunk_id", "paper_id", "kind", "text").unionByName(body.select("chunk_id", "paper_id", "kind", "text"))
+    return _finish(tokens, index.papers.unionByName(papers, allowMissingColumns=True), every, durable(postings, "postings"))
 
 
 def dense_ids(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -176,12 +243,6 @@ def paper_vocabulary(chunks: DataFrame) -> DataFrame:
 # --- versions -------------------------------------------------------------
 
 
-def _file_system(spark: SparkSession, path: str) -> tuple:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def publish(index: Index, root: str) -> str:
     """Write index as a new version under root, on any file system Spark knows, and point to it.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscan.operators.indexing import Index, dense_ids, index_from_chunks
+from folioscan.operators.indexing import Index, dense_ids, extend, index_from_chunks
 
 
 def allowlisted(chunks: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -47,12 +47,13 @@ def append_manifest(path: str, ids: DataFrame) -> None:
 
 
 def build(
-    chunks: DataFrame, mode: str = "full", present: DataFrame | None = None, allowed: DataFrame | None = None, limit: int | None = None
+    chunks: DataFrame, mode: str = "full", present: Index | None = None, allowed: DataFrame | None = None, limit: int | None = None
 ) -> Index:
-    """An index by mode: full (all chunk records), incremental (records already present and those of new papers), recent (new papers only), sharded (as full; the
-    merge of shards is the same plan). allowed and limit narrow the records first.
+    """An index by mode: full (all chunk records), incremental (present with the records of papers that it lacks), recent (those alone).
 
-    Incremental counts df and norms anew over old and new records, since N and df of every term may change.
+    index-only is full without the step that makes chunk records, which is not part
+    of this; sharded is full, as a plan is spread over tasks anyway. allowed
+    and limit narrow the records first.
     """
     if mode not in ("full", "index-only", "sharded", "incremental", "recent"):
         raise ValueError(f"unknown mode {mode}")
@@ -60,7 +61,6 @@ def build(
         chunks = allowlisted(chunks, allowed)
     if limit is not None:
         chunks = first_papers(chunks, limit)
-    if mode in ("incremental", "recent") and present is not None:
-        fresh = not_yet_present(chunks, present)
-        chunks = fresh if mode == "recent" else present.unionByName(fresh, allowMissingColumns=True)
-    return index_from_chunks(chunks)
+    if present is None or mode not in ("incremental", "recent"):
+        return index_from_chunks(chunks)
+    return extend(present, chunks) if mode == "incremental" else index_from_chunks(not_yet_present(chunks, present.papers))

@@ -34,6 +34,26 @@ class Jobs:
         except FileNotFoundError:
             return {"state": "idle"}
 
+    def progress(self, kind: str) -> dict:
+        """Tasks done and tasks in all of the stages that the running job of a kind has now, {} if none runs."""
+        status = self.status(kind)
+        if status.get("state") != "running":
+            return {}
+        tracker = self.spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(status["job"])]
+        stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+        now = [s for s in stages if s]
+        return {"done": sum(s.numCompletedTasks for s in now), "tasks": sum(s.numTasks for s in now)}
+
+    def run_all(self, kind: str, step: Callable[[], object], report_rows: Callable[[object], dict] | None = None) -> str | None:
+        """Start a cluster-wide step, such as vectorize or download written to a table, as the job of a kind; its last status has report_rows of its result."""
+
+        def run(report: Callable[..., None]) -> dict:
+            made = step()
+            return report_rows(made) if report_rows else {}
+
+        return self.start(kind, run)
+
     def start(self, kind: str, run: Callable[[Callable[..., None]], object]) -> str | None:
         """Start run in a thread and return its id, or None while a job of the kind is running. run gets a function that reports progress."""
         with self._lock:
@@ -49,8 +69,8 @@ class Jobs:
     def _run(self, kind: str, job: str, run: Callable) -> None:
         self.spark.sparkContext.setJobGroup(job, kind, interruptOnCancel=True)
         try:
-            run(lambda **progress: self._write(kind, state="running", job=job, **progress))
-            self._write(kind, state="done", job=job)
+            last = run(lambda **progress: self._write(kind, state="running", job=job, **progress))
+            self._write(kind, state="done", job=job, **(last if isinstance(last, dict) else {}))
         except Exception as e:
             self._write(kind, state="failed", job=job, error=str(e)[:500])
         finally:
@@ -71,7 +91,10 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], object]) ->
     def stop() -> None:
         if not done.wait(seconds):
             timed_out.set()
+            # Jobs that start after a cancellation are cancelled by the next.
             spark.sparkContext.cancelJobGroup(group)
+            while not done.wait(0.1):
+                spark.sparkContext.cancelJobGroup(group)
 
     spark.sparkContext.setJobGroup(group, "limited", interruptOnCancel=True)
     threading.Thread(target=stop, daemon=True).start()

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,18 +23,64 @@ def latest_records(cache: DataFrame) -> DataFrame:
     return ranked.where("_r = 1").select(*_FIELDS)
 
 
+_COMMAND = r"\\[a-zA-Z@]+\*?\s*(?:\[[^\]]*\]\s*)?"
+_PIECE = re.compile(rf"(?P<taken>{_COMMAND}\{{)|(?P<command>{_COMMAND})|(?P<open>\{{)|(?P<close>\}})|(?P<text>[^\\{{}}]+|\\)")
+_BRACE = re.compile(r"\\.|[{}]", re.S)
+
+
+def argument(tex: str, command: str) -> str:
+    """What the braces after a command's first use hold, up to the brace that matches; empty if there is none."""
+    start = re.search(rf"\\{command}\s*\{{", tex, re.I)
+    depth = 1
+    for brace in _BRACE.finditer(tex, start.end()) if start else ():
+        depth += {"{": 1, "}": -1}.get(brace[0], 0)
+        if not depth:
+            return tex[start.end() : brace.start()].strip()
+    return ""
+
+
+def display_text(tex: str) -> str:
+    """LaTeX for display, in one scan: a command before a brace goes with its pair of braces, any other is a space, as is a brace of its own."""
+    out, silent = [], []
+    for piece in _PIECE.finditer(tex):
+        if piece.lastgroup == "taken":
+            silent.append(True)
+        elif piece.lastgroup == "open":
+            silent.append(False)
+            out.append(" ")
+        elif piece.lastgroup == "close":
+            out += [] if silent and silent.pop() else [" "]
+        else:
+            out.append(" " if piece.lastgroup == "command" else piece[0])
+    return " ".join("".join(out).split())
+
+
 def from_latex(latex: DataFrame) -> DataFrame:
-    """Records from sources (arxiv_id, text): title, authors split at commas, semicolons and 'and', abstract of at most 1,200 characters."""
-    def inside(pattern: str) -> Column:
-        return T.strip_tex(F.trim(F.regexp_extract("text", pattern, 1)))
-
-    title = inside(r"(?is)\\title\s*\{([^}]*)\}")
-    authors = F.split(inside(r"(?is)\\author\s*\{([^}]*)\}"), r";|,|\band\b")
-    authors = F.filter(F.transform(authors, lambda a: F.trim(a)), lambda a: a != "")
-    abstract = F.substring(inside(r"(?i)\\begin\{abstract\}([\s\S]*?)\\end\{abstract\}"), 1, 1200)
-    return latex.where(F.length(F.trim("text")) > 0).select(
-        "arxiv_id", F.when(title != "", title).otherwise(F.col("arxiv_id")).alias("title"), authors.alias("authors"),
-        F.array().cast("array<string>").alias("subjects"), abstract.alias("abstract"), F.lit(None).cast("string").alias("doi"),
+    """Records from sources (arxiv_id, text): title (else the id), authors split at commas, semicolons and 'and', abstract of at most 1,200 characters.
+
+    Arguments run to the brace that matches, so they may hold commands with
+    braces. A null, empty or blank text has no record.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            bodies = [re.search(r"\\begin\{abstract\}(.*?)\\end\{abstract\}", t, re.S | re.I) for t in texts]
+            names = [re.split(r"[;,]|\band\b", display_text(argument(t, "author"))) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("arxiv_id"),
+                    pa.array([display_text(argument(t, "title")) for t in texts], pa.string()),
+                    pa.array([[n.strip() for n in people if n.strip()] for people in names], pa.list_(pa.string())),
+                    pa.array([display_text(b[1])[:1200] if b else "" for b in bodies], pa.string()),
+                ],
+                names=["arxiv_id", "title", "authors", "abstract"],
+            )
+
+    heads = latex.where(F.length(F.trim("text")) > 0).select(F.col("arxiv_id").cast("string"), "text")
+    return heads.mapInArrow(run, "arxiv_id string, title string, authors array<string>, abstract string").select(
+        "arxiv_id", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("arxiv_id")).alias("title"), "authors",
+        F.array().cast("array<string>").alias("subjects"), "abstract", F.lit(None).cast("string").alias("doi"),
         F.lit("offline_latex").alias("source"), F.lit(0).cast("long").alias("ts"),
     )
 

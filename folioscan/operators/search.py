@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from folioscan.functions import hints
 from folioscan.functions import text as T
 from folioscan.operators.indexing import Index, idf
+from folioscan.operators.jobs import within
 from folioscan.runtime import broadcast_if_small, durable
 
 #: Decimals to which scores are rounded before ranking, so that order does not hang on the order of additions.
@@ -19,6 +20,16 @@ RANK_DECIMALS = 9
 SPREAD = 32
 
 
+# Names of stored settings and the option that each is.
+SETTINGS = {
+    "kind": "kind", "perPaper": "per_paper_k", "maxResults": "top_k", "scoring": "scoring", "bm25K1": "k1", "bm25B": "b",
+    "svdEnable": "svd", "svdTopN": "svd_top", "svdAlpha": "svd_alpha", "twoPassEnable": "two_pass", "twoPassTopN": "two_pass_top",
+}
+
+#: Distinct tokens of a batch of queries whose postings are looked up by id; a batch with more joins all postings.
+LOOKUP_TOKENS = 4_000
+
+
 @dataclass(frozen=True)
 class SearchOptions:
     """Options of a search. Sizes of 0 mean the default; clamped() brings all into their ranges."""
@@ -48,6 +59,8 @@ class SearchOptions:
     svd_alpha: float = 0.5
     base_by_last_v: bool = False
     math_hint_compat: bool = False
+    #: Seconds that candidates and scores may take, both together; 0 is no limit.
+    time_limit: float = 0.0
 
     def clamped(self) -> SearchOptions:
         return replace(
@@ -62,9 +75,8 @@ class SearchOptions:
         )
 
     def merged(self, changes: dict) -> SearchOptions:
-        """These options with the changes whose names are options; other names are ignored."""
-        known = {f.name for f in fields(self)}
-        return replace(self, **{k: v for k, v in changes.items() if k in known})
+        """These options with the changes to settings that users may store; other names are ignored."""
+        return replace(self, **{SETTINGS[k]: v for k, v in changes.items() if k in SETTINGS})
 
 
 def query_terms(queries: DataFrame, o: SearchOptions) -> DataFrame:
@@ -131,14 +143,21 @@ def _of_kind(index: Index, kind: str) -> DataFrame | None:
     return index.chunks.where(F.col("kind") == kind).select("chunk_id")
 
 
+def hits(index: Index, vectors: DataFrame, o: SearchOptions) -> DataFrame:
+    """Postings of the tokens of vectors (durable or cheap), each with the columns of vectors, of chunks of the kind asked for.
+
+    The distinct tokens of the batch, if not too many to list, go to the scan, which then reads their folders only.
+    """
+    listed = [r[0] for r in vectors.select("token_id").distinct().limit(LOOKUP_TOKENS + 1).collect()]
+    found = index.postings_of(listed if len(listed) <= LOOKUP_TOKENS else None).drop("part").join(vectors, "token_id")
+    kind = _of_kind(index, o.kind)
+    return found if kind is None else found.join(kind, "chunk_id", "left_semi")
+
+
 def candidates(index: Index, vectors: DataFrame, o: SearchOptions) -> DataFrame:
     """(query_id, chunk_id, matches): chunks by the number of chosen tokens they hold, ties by id; max_candidates after offset."""
-    chosen = vectors.where("chosen").select("query_id", "token_id")
-    hits = index.postings.select("token_id", "chunk_id").join(chosen, "token_id")
-    kind = _of_kind(index, o.kind)
-    if kind is not None:
-        hits = hits.join(kind, "chunk_id", "left_semi")
-    counts = hits.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matches"))
+    found = hits(index, vectors.where("chosen").select("query_id", "token_id"), o)
+    counts = found.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matches"))
     return first_of(counts, o.offset + o.max_candidates, o.offset)
 
 
@@ -159,25 +178,24 @@ def bm25_idf(n_chunks: int, df: Column) -> Column:
     return F.log(1 + F.greatest(F.lit(0.0), F.lit(float(n_chunks)) - df + 0.5) / (df + 0.5))
 
 
-def score(index: Index, vectors: DataFrame, found: DataFrame, o: SearchOptions) -> DataFrame:
+def scored(index: Index, vectors: DataFrame, o: SearchOptions) -> DataFrame:
     """(query_id, chunk_id, paper_id, kind, cosine, bm25) of candidates.
 
-    Candidates, the smaller side, get their chunk's facts; postings meet the
-    query terms, then the candidates by query and chunk, and are summed in that
-    partitioning once for both scores. Texts stay out of it.
+    One pass over the postings of the query terms counts the chosen tokens a
+    chunk holds and sums both scores, since a posting carries its chunk's
+    length; then the candidates are cut off, and only they get their chunk's facts. Texts stay out of it.
     """
-    facts = index.chunks.select("chunk_id", "paper_id", "kind", "norm", "dl")
-    wanted = found.select("query_id", "chunk_id").join(facts, "chunk_id")
-    hits = index.postings.join(vectors.select("query_id", "token_id", "df", "idf", "q"), "token_id")
-    rows = hits.join(wanted, ["query_id", "chunk_id"])
     tf, avgdl = F.col("tf"), max(index.avgdl, 1e-12)
     saturated = (o.k1 + 1) * tf / (tf + o.k1 * (1 - o.b + o.b * F.col("dl") / avgdl))
-    sums = rows.groupBy("query_id", "chunk_id", "paper_id", "kind", "norm").agg(
+    sums = hits(index, vectors.select("query_id", "token_id", "df", "idf", "q", "chosen"), o).groupBy("query_id", "chunk_id").agg(
+        F.sum(F.col("chosen").cast("long")).alias("matches"),
         F.sum(F.col("q") * (1 + F.log(tf)) * F.col("idf")).alias("dot"),
         F.sum(saturated * bm25_idf(index.n_chunks, F.col("df"))).alias("bm25"),
     )
+    found = first_of(sums.where("matches > 0"), o.offset + o.max_candidates, o.offset)
+    rows = found.join(index.chunks.select("chunk_id", "paper_id", "kind", "norm"), "chunk_id")
     norm = F.coalesce(F.nullif(F.col("norm"), F.lit(0.0)), F.lit(1.0))
-    return sums.select(
+    return rows.select(
         "query_id", "chunk_id", "paper_id", "kind",
         F.round(F.col("dot") / norm, RANK_DECIMALS).alias("cosine"), F.round("bm25", RANK_DECIMALS).alias("bm25"),
     )
@@ -204,8 +222,11 @@ def blend_latent(ranked: DataFrame, query_vectors_: DataFrame, embeddings: DataF
     """ranked put in order of alpha * cosine + (1 - alpha) * latent for the svd_top first, and of cosine for the rest.
 
     query_vectors_ is (query_id, qv), embeddings (chunk_id, v). A chunk without an
-    embedding keeps its cosine; the cosine column then holds the blend.
+    embedding keeps its cosine; the cosine column then holds the blend. Only
+    vectors of chunks among a query's first are read on.
     """
+    wanted = durable(ranked.where(F.col("place") <= o.svd_top).select("chunk_id").distinct(), "blended-chunks")
+    embeddings = embeddings.join(broadcast_if_small(wanted), "chunk_id", "left_semi")
     rows = ranked.join(embeddings, "chunk_id", "left").join(query_vectors_, "query_id", "left")
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
     blend = F.when((F.col("place") <= o.svd_top) & dot.isNotNull(), o.svd_alpha * F.col("cosine") + (1 - o.svd_alpha) * dot).otherwise(F.col("cosine"))
@@ -235,8 +256,11 @@ def search(index: Index, queries: DataFrame, options: SearchOptions | None = Non
     """
     o = (options or SearchOptions()).clamped()
     # The terms of a batch of queries are few; sent to the postings, these need no shuffle before they are cut down.
-    vectors = broadcast_if_small(durable(query_vectors(index, queries, o), "query-vectors"), 96)
-    ranked = rank(score(index, vectors, candidates(index, vectors, o), o), o)
+    vectors = broadcast_if_small(durable(query_vectors(index, queries, o), "query-vectors"))
+    scores = scored(index, vectors, o)
+    if o.time_limit > 0:
+        scores = within(index.postings.sparkSession, o.time_limit, lambda: durable(scores, "scores"))
+    ranked = rank(scores, o)
     if o.svd and latent is not None:
         ranked = blend_latent(ranked, latent[0], latent[1], o)
     top = cap_papers(ranked, index.papers, o)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,9 @@ from folioscan.operators import metadata as M
 from folioscan.operators import search as S
 from folioscan.operators.indexing import Index, index_from_chunks, index_from_tables, paper_vocabulary, per_paper_tfidf, unique_papers
 from folioscan.operators.skew import heavy_keys, key_quantiles, key_statistics
-from folioscan.plans import sql
-from folioscan.runtime import durable, generation, table
+from folioscan.plans import fixtures, sql
+from folioscan.sources import archives as A
+from folioscan.runtime import durable, generation, keeping, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,7 +35,8 @@ def index(spark: SparkSession, d: str) -> Index:
     """The index of the tables in d, built once a session, as a search service would keep it."""
     key = (*generation(spark), d)
     if key not in _built:
-        _built[key] = index_from_tables(*(table(spark, d, t) for t in ("paper", "chunk", "token", "posting")))
+        with keeping():
+            _built[key] = index_from_tables(*(table(spark, d, t) for t in ("paper", "chunk", "token", "posting")))
     return _built[key]
 
 
@@ -92,7 +95,7 @@ def papers_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """A build from scratch each time: its postings."""
-    return index_from_tables(*(table(spark, d, t) for t in ("paper", "chunk", "token", "posting"))).postings
+    return index_from_tables(*(table(spark, d, t) for t in ("paper", "chunk", "token", "posting"))).postings.select("token_id", "chunk_id", "tf")
 
 
 @query
@@ -151,7 +154,8 @@ def math_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunk").where("id is not null and text is not null").dropDuplicates(["id"])
+    rows = table(spark, d, "chunk").where("id is not null and text is not null")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.min(T.clean_kind(F.col("kind"))).alias("kind"))
     return rows.select(F.col("id").alias("chunk_id"), F.posexplode(T.chunk_tokens(F.col("text"), F.col("kind"))).alias("pos", "token"))
 
 
@@ -193,6 +197,53 @@ def paper_ids(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("paper_id", T.normal_id(a).alias("normal"), T.base_id(a).alias("base"), T.paper_url(a).alias("abs_url"), T.paper_url(a, "pdf").alias("pdf_url"))
 
 
+# --- archives ---------------------------------------------------------------
+
+
+@query
+def archive_scan(spark: SparkSession, d: str) -> DataFrame:
+    return A.scan_archives(spark, fixtures.archive_folder(spark)).select("arxiv_id")
+
+
+def _members(spark: SparkSession) -> DataFrame:
+    return A.archive_members(A.scan_archives(spark, fixtures.archive_folder(spark)))
+
+
+@query
+def archive_files(spark: SparkSession, d: str) -> DataFrame:
+    return _members(spark).select("arxiv_id", "member", F.length("text").alias("chars"))
+
+
+@query
+def archive_main_files(spark: SparkSession, d: str) -> DataFrame:
+    return A.main_files(_members(spark)).select("arxiv_id", "member", "place")
+
+
+@query
+def math_blocks(spark: SparkSession, d: str) -> DataFrame:
+    parts = A.separate_math(A.combined_sources(_members(spark)))
+    return parts.select("arxiv_id", F.posexplode("blocks").alias("n", "block"))
+
+
+@query
+def archive_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """From archives to chunk records, with the papers already there left out."""
+    present = spark.createDataFrame([("0705.0002",)], "arxiv_id string")
+    rows = A.vectorize(spark, fixtures.archive_folder(spark), present)
+    return rows.select("arxiv_id", "id", "kind", "text", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def latex_sources(spark: SparkSession, d: str) -> DataFrame:
+    return A.latex_texts(spark, fixtures.archive_folder(spark)).select("arxiv_id", F.length("text").alias("chars"), F.contains("text", F.lit("A reference.")).alias("with_references"))
+
+
+@query
+def latex_metadata(spark: SparkSession, d: str) -> DataFrame:
+    found = M.from_latex(A.latex_texts(spark, fixtures.archive_folder(spark)))
+    return found.select("arxiv_id", "title", F.array_join("authors", "|").alias("authors"), "abstract", "source")
+
+
 # --- metadata -------------------------------------------------------------
 
 
@@ -229,6 +280,14 @@ def tokenize_stages(spark: SparkSession, d: str) -> DataFrame:
     return stages.select("paper_id", *[F.array_join(f"s.{c}", " ").alias(c) for c in ("text_tokens", "math_segments", "math_tokens", "final")])
 
 
+@query
+def query_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The stages of tokenizing queries that hold formulas, symbols, operators and placeholders."""
+    rows = spark.createDataFrame(list(enumerate(fixtures.QUERIES)), "query_id int, q string")
+    stages = rows.select("query_id", T.tokenize_stages(F.col("q")).alias("s"))
+    return stages.select("query_id", *[F.array_join(f"s.{c}", " ").alias(c) for c in ("text_tokens", "math_segments", "math_tokens", "final")])
+
+
 @query
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
     ix = index(spark, d)
@@ -244,7 +303,7 @@ def scan_budget(spark: SparkSession, d: str) -> DataFrame:
 @query
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     ix, o = index(spark, d), S.SearchOptions()
-    return S.candidates(ix, S.query_vectors(ix, titles(ix), o), o)
+    return S.candidates(ix, durable(S.query_vectors(ix, titles(ix), o), "query-vectors"), o)
 
 
 def _search(spark: SparkSession, d: str, **options: object) -> DataFrame:
@@ -268,7 +327,7 @@ def search_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_two_pass(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(_search(spark, d, two_pass=True, two_pass_top=50))
+    return _shown(_search(spark, d, two_pass=True))
 
 
 @query
@@ -313,10 +372,10 @@ def _unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latent_blend(spark: SparkSession, d: str) -> DataFrame:
-    ix, o = index(spark, d), S.SearchOptions(svd=True, svd_top=100)
+    ix, o = index(spark, d), S.SearchOptions(svd=True)
     qs = titles(ix)
-    vectors = S.query_vectors(ix, qs, o)
-    ranked = S.rank(S.score(ix, vectors, S.candidates(ix, vectors, o), o), o)
+    vectors = durable(S.query_vectors(ix, qs, o), "query-vectors")
+    ranked = durable(S.rank(S.scored(ix, vectors, o), o), "ranked")
     units = durable(_unit_vectors(spark, d), "unit-vectors")
     first = ix.chunks.join(units, "chunk_id").groupBy(F.col("paper_id").alias("query_id")).agg(F.min("chunk_id").alias("chunk_id"))
     of_query = first.join(qs, "query_id", "left_semi").join(units, "chunk_id").select("query_id", F.col("v").alias("qv"))
@@ -334,8 +393,8 @@ def search_latent(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def word_vectors(spark: SparkSession, d: str) -> DataFrame:
-    model = L.fit_word_vectors(table(spark, d, "chunks"), size=32, epochs=1)
-    return model.getVectors().select("word")
+    vectors = L.fit_word_vectors(table(spark, d, "chunks")).getVectors()
+    return vectors.select("word", vector_to_array("vector").alias("vector"))
 
 
 # --- context --------------------------------------------------------------
@@ -350,7 +409,7 @@ def rag_select(spark: SparkSession, d: str) -> DataFrame:
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ix = index(spark, d)
     qs = titles(ix)
-    return C.rag_context(ix, qs, token_budget=600), qs
+    return C.rag_context(ix, qs), qs
 
 
 @query
@@ -378,11 +437,43 @@ def paper_texts(spark: SparkSession, d: str) -> DataFrame:
     return C.paper_texts(index(spark, d), 24_000).where("paper_id is not null")
 
 
+def _attached(ix: Index) -> DataFrame:
+    return ix.papers.where("arxiv_id is not null").select(F.floor(F.col("paper_id") / 4).alias("session_id"), F.col("paper_id").alias("seq"), "arxiv_id")
+
+
 @query
 def chat_context(spark: SparkSession, d: str) -> DataFrame:
     ix = index(spark, d)
-    attached = ix.papers.where("arxiv_id is not null").select(F.floor(F.col("paper_id") / 4).alias("session_id"), F.col("paper_id").alias("seq"), "arxiv_id")
-    return C.chat_context(ix, attached, token_budget=600)
+    return C.chat_context(ix, _attached(ix))
+
+
+@query
+def full_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Whole papers of a client's list, in its order, under a budget that cuts some."""
+    ix = index(spark, d)
+    wanted = _attached(ix).select(F.col("session_id").alias("query_id"), (-F.col("seq")).alias("paper_rank"), "arxiv_id")
+    return C.full_paper_context(ix, wanted)
+
+
+@query
+def client_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks to read of the papers that a client names with its query, in the client's order."""
+    ix = index(spark, d)
+    qs = titles(ix)
+    near = qs.join(ix.papers.where("arxiv_id is not null"), F.col("paper_id").between(F.col("query_id"), F.col("query_id") + 40))
+    named = near.select("query_id", (F.col("query_id") + 40 - F.col("paper_id")).alias("pos"), "arxiv_id")
+    return C.rag_select(ix, qs, client_papers=named)
+
+
+@query
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Papers attached to chat sessions now, with the events of a user as those of a session: views and clicks add, purchases remove, errors clear."""
+    kind = F.col("event_type")
+    action = F.when(kind.isin("view", "click"), "add").when(kind == "purchase", "remove").when((kind == "error") & (F.col("value") > 100), "clear").otherwise("none")
+    mode = F.when(kind == "click", "vectors").otherwise(F.lit(None).cast("string"))
+    paper = F.floor("value").cast("string")
+    events = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), action.alias("action"), paper.alias("paper_id"), mode.alias("mode"))
+    return C.session_papers(events)
 
 
 @query
@@ -412,7 +503,7 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mini_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return G.mini_dataset(table(spark, d, "chunks"), 50, 20).select("arxiv_id", "id")
+    return G.mini_dataset(table(spark, d, "chunks"), 50, 200).select("arxiv_id", "id")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from folioscan.functions import hints
+from folioscan.plans import fixtures
 
 _WS = r"[\s\p{Z}\x{85}\x0b]"
 
@@ -129,7 +130,7 @@ pr as (select *, dense_rank() over (partition by query_id order by first, paper_
 sel as (select pr.query_id, pr.paper_rank, pr.paper_id, coalesce(pap.arxiv_id, pr.paper_id::varchar) as arxiv_id, pr.chunk_rank, pr.chunk_id from pr left join pap using (paper_id) where paper_rank <= 5),
 tx as (select sel.*, regexp_replace(regexp_replace(c.text, '^{_WS}+|{_WS}+$', '', 'g'), '\\[MATH_\\d+\\]', ' ', 'g') as t from sel join chk c using (chunk_id) where length(regexp_replace(c.text, '^{_WS}+|{_WS}+$', '', 'g')) > 0),
 blk as (select query_id, paper_rank, arxiv_id, string_agg(t, chr(10) || chr(10) order by chunk_id) as text from tx group by 1, 2, 3),
-rm as (select *, 2400 - coalesce(sum(length(text)) over (partition by query_id order by paper_rank rows between unbounded preceding and 1 preceding), 0) as room from blk where length(text) > 0),
+rm as (select *, 24000 - coalesce(sum(length(text)) over (partition by query_id order by paper_rank rows between unbounded preceding and 1 preceding), 0) as room from blk where length(text) > 0),
 pk as (select query_id, paper_rank, arxiv_id, left(text, room::bigint) as sent, length(left(text, room::bigint)) as sent_chars, length(text) as total_chars, length(text) > room as truncated from rm where room > 0)"""
 
 _UNIQUE = "select distinct on (arxiv_id, id) * from chunks where arxiv_id is not null and id is not null"
@@ -144,8 +145,127 @@ _BARE = """case when text like '$$%' and text like '%$$' then substr(text, 3, gr
 _ENDS = r"regexp_replace(regexp_replace(text, '\r\n|[\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n\z', '')"
 
 
-def oracle_sql() -> dict[str, str]:
+def _values(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join(_quoted(x) for x in row) + ")" for row in rows)
+
+
+def expansion(of_query: bool) -> str:
+    """Tokens (key, pos, t) of kept0 (key, n, t) and raw (key, low): placeholders out, variants unified, then the sorted extras."""
+    bridges = hints.BRIDGES if of_query else hints.BRIDGES[:7]
+    phrases = hints.PHRASES + (hints.RAW_OPERATORS if of_query else ())
+    return f"""
+kept1 as (select key, n, coalesce(v.c, t) as t from kept0 left join (values {_values(list(hints.VARIANTS.items()))}) v(w, c) on t = v.w where not regexp_matches(t, '^math_\\d+$')),
+kept as (select key, row_number() over (partition by key order by n) - 1 as pos, t, lead(t) over (partition by key order by n) as after from kept1),
+extra as (select key, {singular("t")} as t from kept where not starts_with(t, '\\') and {singular("t")} <> t
+    union select key, h.c from kept join (values {_HINTS}) h(w, c) on t = h.w
+    union select key, b.c from kept join (values {_values(list(bridges))}) b(x, y, c) on t = b.x and after = b.y
+    union select key, p.c from raw join (values {_values(list(phrases))}) p(w, c) on contains(low, p.w)),
+tokens as (select key, pos, t from kept union all
+    select key, coalesce((select max(pos) + 1 from kept k where k.key = e.key), 0) + row_number() over (partition by key order by t) - 1, t from extra e)"""
+
+
+_SYMBOLS = _values([(c, str(i), command) for c, commands in (hints.SYMBOL_HINTS | hints.GREEK_HINTS).items() for i, command in enumerate(commands)])
+
+
+def stages(source: str) -> str:
+    """The stages of tokenizing the queries of source (key, q)."""
+    minus = "replace(q, chr(8722), '-')"
+    return f"""with src as ({source}), raw as (select key, lower(q) as low from src),
+w0 as (select key, unnest(w) as w, unnest(range(len(w))) as n from (select key, {words(minus)} as w from src)),
+wd as (select key, n, {singular("w")} as t from w0),
+sg as (select key, unnest(m) as text, unnest(range(len(m))) as s from (select key, regexp_extract_all(q, '{MATH}') as m from src)),
+ml as (select key, s, regexp_extract_all(regexp_replace({_BARE}, '\\\\(begin|end)\\{{[^}}]+\\}}', ' ', 'g'), '{_TOKEN_PATTERN}') as m from sg),
+mt as (select key, 1000000 + s * 10000 + i as n, lower(t) as t from (select key, s, unnest(m) as t, unnest(range(len(m))) as i from ml)),
+ch as (select key, unnest(c) as c, unnest(range(len(c))) as i from (select key, string_split(q, '') as c from src)),
+sy as (select key, 2000000000 + min(i * 10 + y.k::int) as n, y.command as t from ch join (values {_SYMBOLS}) y(c, k, command) on ch.c = y.c group by key, y.command),
+kept0 as (select * from wd union all select * from mt union all select * from sy), {expansion(True)}
+select src.key, coalesce((select string_agg(t, ' ' order by n) from wd where wd.key = src.key), '') as text_tokens,
+    coalesce((select string_agg(text, ' ' order by s) from sg where sg.key = src.key), '') as math_segments,
+    coalesce((select string_agg(t, ' ' order by n) from mt where mt.key = src.key), '') as math_tokens,
+    coalesce((select string_agg(t, ' ' order by pos) from tokens where tokens.key = src.key), '') as final from src"""
+
+
+_ATTACHED = f"""with {INDEX},
+tt as (select paper_id, chunk_id, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') as t from chk),
+pt as (select paper_id, string_agg(t, chr(10) || chr(10) order by chunk_id) as text from tt where length(t) > 0 group by 1),
+fi as (select arxiv_id, min(paper_id) as paper_id from pap group by 1),
+att as (select floor(pap.paper_id / 4)::bigint as session_id, pap.paper_id as seq, pap.arxiv_id, pt.text from pap join fi using (arxiv_id) join pt on pt.paper_id = fi.paper_id)"""
+
+
+def attached(order: str) -> str:
+    return f"""{_ATTACHED}, rm as (select *, 24000 - coalesce(sum(length(text)) over (partition by session_id order by {order} rows between unbounded preceding and 1 preceding), 0) as room from att)
+        select session_id, {order} as seq, arxiv_id, 'vectors' as mode, left(text, room::bigint) as sent, length(left(text, room::bigint)) as sent_chars, length(text)::bigint as total_chars, length(text) > room as truncated from rm where room > 0"""
+
+
+CLIENT = f"""with {vectors(no_filter=True, budget=None).strip()},
+cl as (select query_id, arxiv_id, min(query_id + 40 - paper_id) as pos from qs join pap on paper_id between query_id and query_id + 40 where arxiv_id is not null group by 1, 2),
+mt as (select v.query_id, p.chunk_id, c.paper_id, cl.arxiv_id, cl.pos, count(*) as m from post p join vec v using (token_id) join chk c using (chunk_id) join pap on pap.paper_id = c.paper_id
+    join cl on cl.query_id = v.query_id and cl.arxiv_id = pap.arxiv_id where v.chosen group by all),
+od as (select * from (select *, row_number() over (partition by query_id order by m desc, chunk_id) as o from mt) where o <= 2000),
+cr as (select *, row_number() over (partition by query_id, paper_id order by o) as chunk_rank from od),
+pr as (select *, dense_rank() over (partition by query_id order by pos, paper_id) as paper_rank from cr where chunk_rank <= 5)
+select query_id, paper_rank::int as paper_rank, paper_id, arxiv_id, chunk_rank::int as chunk_rank, chunk_id from pr where paper_rank <= 5"""
+
+_ABSTRACT = "We study $x$ and its powers."
+
+
+def _archive_rows() -> dict[str, str]:
+    """What must come of the archives of fixtures.archive_folder, by reading them."""
+    nl = "\n"
+    # Two comments go: one of 13 characters, one of 11. The files are joined with blank lines.
+    chars = len(fixtures.OTHER) + len(fixtures.MAIN) + len("A reference.") + 4 - 13 - 11
+    records = [
+        ("0704.0001v1", "chunk_0", "paragraph", "article On Noetherian Rings A. One, B. van Two; C. Three and D. Four document abstract We study [MATH_0] and its powers . abstract Start Let [MATH_1] be given.",
+            "article on noetherian rings a one b van two c three and d four document abstract we study and its powers abstract start let be given power ring"),
+        ("0704.0001v1", "chunk_1", "paragraph", "[MATH_2] [MATH_3]", ""),
+        ("0704.0001v1", "chunk_2", "paragraph", "Last foo . equation never closed equation document", "last foo equation never closed equation document"),
+        ("0704.0001v1", "chunk_3", "paragraph", "Only prose here, on 50\\% of it.", "only prose here on 50 of it"),
+        ("0704.0001v1", "chunk_4", "equation", "$x$", "x"),
+        ("0704.0001v1", "chunk_5", "equation", "$a+b$", "a + b"),
+        ("0704.0001v1", "chunk_6", "equation", nl.join(("\\begin{gather}", "v = \\alpha", "\\end{gather}")), "v = \\alpha"),
+        ("0704.0001v1", "chunk_7", "equation", nl.join(("\\begin{align*}", "u &= 1 \\\\", "y &= 2", "\\end{align*}")), "u = 1 \\\\ y = 2"),
+        ("math_0404297", "chunk_0", "paragraph", "document A single file with [MATH_0] . document", "document a single file with document"),
+        ("math_0404297", "chunk_1", "equation", "\\(c\\)", "c"),
+    ]
+    gather = nl.join((r"\begin{gather}", r"v = \alpha", r"\end{gather}"))
+    align = nl.join((r"\begin{align*}", r"u &= 1 \\", "y &= 2", r"\end{align*}"))
     return {
+        "archive_scan": "select * from (values ('0704.0001v1'), ('math_0404297'), ('0705.0002.TGZ'), ('0706.0003'), ('0707.0004')) v(arxiv_id)",
+        "archive_files": f"""select * from (values ('0704.0001v1', 'sub/main.tex', {len(fixtures.MAIN)}), ('0704.0001v1', 'other.tex', {len(fixtures.OTHER)}),
+            ('math_0404297', 'main.tex', {len(fixtures.SINGLE)})) v(arxiv_id, member, chars)""",
+        "archive_main_files": "select * from (values ('0704.0001v1', 'sub/main.tex', 1), ('0704.0001v1', 'other.tex', 2), ('math_0404297', 'main.tex', 1)) v(arxiv_id, member, place)",
+        "math_blocks": f"""select arxiv_id, n::int as n, block from (values ('0704.0001v1', '0', '$x$'), ('0704.0001v1', '1', '$a+b$'), ('0704.0001v1', '2', {_quoted(gather)}),
+            ('0704.0001v1', '3', {_quoted(align)}), ('math_0404297', '0', '\\(c\\)')) v(arxiv_id, n, block)""",
+        "archive_chunks": f"select * from (values {_values(records)}) v(arxiv_id, id, kind, text, tokens)",
+        "latex_sources": f"select '0704.0001v1' as arxiv_id, {chars} as chars, true as with_references",
+        "latex_metadata": f"""select * from (values ('0704.0001v1', 'On Noetherian Rings', 'A. One|B. van Two|C. Three|D. Four', {_quoted(_ABSTRACT)}, 'offline_latex')) v(arxiv_id, title, authors, abstract, source)""",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return _archive_rows() | {
+        "query_cases": f"select key as query_id, * exclude (key) from ({stages('select * from (values ' + ', '.join(f'({i}, {_quoted(q)})' for i, q in enumerate(fixtures.QUERIES)) + ') v(key, q)')})",
+        "tokenize_stages": f"select key as paper_id, * exclude (key) from ({stages(f'with {INDEX} select paper_id as key, title as q from pap where title is not null')})",
+        "chunk_tokens": f"""with c as (select id as key, min(text) as text, min(lower(trim(kind))) as kind from chunk where id is not null and text is not null group by 1),
+            l as (select key, case when kind = 'equation' then list_transform(regexp_extract_all(regexp_replace({_BARE}, '\\\\(begin|end)\\{{[^}}]+\\}}', ' ', 'g'), '{_TOKEN_PATTERN}'), lambda x: lower(x)) else {words('text')} end as w from c),
+            raw as (select key, lower(text) as low from c where kind is distinct from 'equation'),
+            kept0 as (select key, unnest(range(len(w))) as n, unnest(w) as t from l), {expansion(False)}
+            select key as chunk_id, pos::int as pos, t as token from tokens""",
+        "chat_context": attached("seq"),
+        "full_papers": f"select session_id as query_id, seq as paper_rank, * exclude (session_id, seq) from ({attached('-seq')})",
+        "client_papers": CLIENT,
+        "sessions": """with e as (select user_id as session_id, event_id as seq, floor(value)::bigint::varchar as paper_id, case when event_type = 'click' then 'vectors' else 'latex' end as mode,
+                case when event_type in ('view', 'click') then 'add' when event_type = 'purchase' then 'remove' when event_type = 'error' and value > 100 then 'clear' else 'none' end as action from events),
+            l as (select *, coalesce(max(case when action = 'clear' then seq end) over (partition by session_id), -1) as cleared,
+                coalesce(max(case when action = 'remove' then seq end) over (partition by session_id, paper_id), -1) as removed from e)
+            select session_id, min(seq) as seq, paper_id, arg_min(mode, seq) as mode from l where action = 'add' and paper_id is not null and seq > cleared and seq > removed group by session_id, paper_id""",
+        "metadata_all": f"""with w as (select distinct regexp_replace(case when regexp_matches(trim(arxiv_id), 'v\\d+$') then split_part(trim(arxiv_id), 'v', 1) else trim(arxiv_id) end, '^([A-Za-z\\-]+)_(\\d{{7}})$', '\\1/\\2') as arxiv_id from paper where arxiv_id is not null),
+            m as ({_LATEST}),
+            f as (select arxiv_id, left(t, 1200) as abstract from (select arxiv_id, t, row_number() over (partition by arxiv_id order by (kind is not null and lower(trim(kind)) = 'paragraph') desc, {_NUMBER}) as r
+                from (select *, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') as t from chunks where arxiv_id is not null) where length(t) > 0) where r = 1),
+            c as (select regexp_replace(case when regexp_matches(trim(arxiv_id), 'v\\d+$') then split_part(trim(arxiv_id), 'v', 1) else trim(arxiv_id) end, '^([A-Za-z\\-]+)_(\\d{{7}})$', '\\1/\\2') as arxiv_id, arxiv_id as title, abstract from f),
+            u as (select arxiv_id, title, abstract, source, 0 as s from m union all select arxiv_id, title, abstract, 'offline', 2 from c)
+            select arxiv_id, title, abstract, source from (select *, row_number() over (partition by arxiv_id order by s, title) as r from u where arxiv_id in (select arxiv_id from w)) where r = 1""",
         "collection_counts": " union all ".join(f"select '{t}' as name, count(*) as rows from {t}" for t in ("token", "paper", "chunk", "posting")),
         "papers_chunk_counts": f"with {INDEX} select pap.paper_id, pap.arxiv_id, count(c.chunk_id) as chunks from pap left join chk c using (paper_id) group by 1, 2",
         "index_build": f"with {INDEX} select token_id, chunk_id, tf from post",
@@ -187,7 +307,7 @@ def oracle_sql() -> dict[str, str]:
         "candidates": f"with {candidates()} select query_id, chunk_id, matches from cand",
         "search_cosine": search_sql(ranked()),
         "search_bm25": search_sql(ranked("bm25"), "bm25"),
-        "search_two_pass": search_sql(two_pass(50)),
+        "search_two_pass": search_sql(two_pass(2000)),
         "search_kind": search_sql(ranked(kind="paragraph")),
         "search_unfiltered": search_sql(ranked(no_filter=True)),
         "search_per_paper": search_sql(ranked(), top_k=50, per_paper=3),
@@ -198,7 +318,7 @@ def oracle_sql() -> dict[str, str]:
         "rag_select": f"with {RAG} select query_id, paper_rank::int as paper_rank, paper_id, arxiv_id, chunk_rank::int as chunk_rank, chunk_id from sel",
         "rag_context": f"with {RAG} select query_id, paper_rank::int as paper_rank, arxiv_id, sent, sent_chars, total_chars, truncated from pk",
         "offline_summary": f"""with {RAG}, n as (select *, row_number() over (partition by query_id order by paper_rank) as r from pk)
-            select query_id, string_agg('- [' || arxiv_id || '] ' || left(trim(regexp_replace(sent, '{_WS}+', ' ', 'g')), 900) || '...', chr(10) order by paper_rank) as summary from n where r <= 3 group by 1""",
+            select query_id, 'Offline mode: LLM unavailable. Showing excerpts related to your question.' || chr(10) || chr(10) || string_agg('- [' || arxiv_id || '] ' || left(trim(regexp_replace(sent, '{_WS}+', ' ', 'g')), 900) || '...', chr(10) order by paper_rank) || chr(10) || chr(10) || 'Tip: Save an OpenAI API key in Settings to enable full answers.' as summary from n where r <= 3 group by 1""",
         "prompts": f"""with {RAG}, p as (select query_id, string_agg('[Source ' || arxiv_id || ']' || chr(10) || sent || chr(10) || chr(10), '' order by paper_rank) as b from pk group by 1)
             select query_id, 'You are a careful assistant. Read the following excerpts to answer the user''s question. Cite papers as [paperId].' || chr(10) || chr(10) || b || 'Question: ' || query || chr(10) || chr(10)
             || 'Answer succinctly with citations like [paperId].' as prompt from p join qs using (query_id)""",
@@ -210,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "allowlist_ingest": "select arxiv_id, count(*) as records from chunks where arxiv_id in (select distinct arxiv_id from paper where year = 2010) group by 1",
         "incremental_ingest": "select arxiv_id, count(*) as records from chunks where arxiv_id not in (select arxiv_id from paper where year <= 2012 and arxiv_id is not null) group by 1",
         "mini_dataset": f"""with p as (select distinct arxiv_id from chunks where arxiv_id is not null order by 1 limit 50)
-            select arxiv_id, id from (select arxiv_id, id, row_number() over (partition by arxiv_id order by {_NUMBER} nulls first, id) as r from (select distinct arxiv_id, id from chunks where arxiv_id in (select arxiv_id from p))) where r <= 20""",
+            select arxiv_id, id from (select arxiv_id, id, row_number() over (partition by arxiv_id order by {_NUMBER} nulls first, id) as r from (select distinct arxiv_id, id from chunks where arxiv_id in (select arxiv_id from p))) where r <= 200""",
         "sharded": """with p as (select arxiv_id, ((row_number() over (order by arxiv_id) - 1) % 4)::int as shard from (select distinct arxiv_id from chunks where arxiv_id is not null))
             select shard, count(*) as records, count(distinct arxiv_id) as papers from chunks join p using (arxiv_id) group by 1""",
         "latent_blend": f"""with {ranked()},
@@ -218,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
             un as (select chunk_id, list_transform(v, lambda x: x::double / sqrt(list_dot_product(v::double[], v::double[]))) as v from em),
             fc as (select paper_id as query_id, min(chunk_id) as chunk_id from chk join un using (chunk_id) group by 1),
             qv as (select fc.query_id, un.v as qv from fc join un using (chunk_id)),
-            bl as (select rk.query_id, rk.chunk_id, rk.place, round(case when place <= 100 and un.v is not null and qv.qv is not null then 0.5 * cosine + 0.5 * list_dot_product(qv.qv, un.v) else cosine end, 9) as cosine
+            bl as (select rk.query_id, rk.chunk_id, rk.place, round(case when place <= 2000 and un.v is not null and qv.qv is not null then 0.5 * cosine + 0.5 * list_dot_product(qv.qv, un.v) else cosine end, 9) as cosine
                 from rk left join un using (chunk_id) left join qv using (query_id))
             select query_id, chunk_id, round(cosine, 6) as cosine, (row_number() over (partition by query_id order by cosine desc, place))::int as place from bl""",
     }

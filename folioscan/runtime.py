@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ BROADCAST_LIMIT_BYTES = 8 << 20
 
 _local_dirs: dict[str, str] = {}
 _written: list[str] = []
+_kept: set[str] = set()
+_keeping = False
 _releases = 0
 
 
@@ -55,14 +59,56 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[key]
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """The gateway, the path and its file system, whichever Spark knows it by."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of data on any file system Spark knows, in place of one of that name."""
+    _, where, files = _file_system(spark, path)
+    out = files.create(where, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    _, where, files = _file_system(spark, path)
+    return files.exists(where)
+
+
+@contextmanager
+def keeping() -> Iterator[None]:
+    """Tables written within outlive release_scratch(), as those of an index do that serves many queries."""
+    global _keeping
+    before, _keeping = _keeping, True
+    try:
+        yield
+    finally:
+        _keeping = before
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _, where, files = _file_system(spark, path)
+        files.delete(where, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of queries whose results have been used; kept tables stay."""
+    _delete(spark, [p for p in _written if p not in _kept])
+    _written[:] = [p for p in _written if p in _kept]
+
+
 def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this process has written. Frames that read them are of no use afterwards."""
+    """Delete all intermediate tables that this process has written. Frames that read them are of no use afterwards."""
     global _releases
     _releases += 1
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    _delete(spark, _written)
+    _written.clear()
+    _kept.clear()
 
 
 @atexit.register
@@ -82,8 +128,8 @@ def generation(spark: SparkSession) -> tuple[str, int]:
     return spark.sparkContext.applicationId, _releases
 
 
-def durable(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return a read of it.
+def durable(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder, by a column's values if told so, and return a read of it.
 
     Lineage ends there, so a lost executor costs a re-read of the table and not
     a recomputation of everything before it.
@@ -91,7 +137,9 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     _written.append(path)
-    df.write.parquet(path)
+    if _keeping:
+        _kept.add(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ import io
 import posixpath
 import re
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,25 +33,38 @@ def scan_archives(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", archive_id(F.col("path")).alias("arxiv_id"), "content")
 
 
-def unpack(content: bytes, name: str) -> list[tuple[str, bytes]]:
-    """Members (path, bytes) of an archive in memory: of a tar, plain or compressed, else the one file that it is.
+def members(content: bytes, name: str, suffixes: tuple[str, ...] = ("",), most_bytes: int | None = None) -> Iterator[tuple[str, bytes]]:
+    """Members (path, bytes) with a suffix and under most_bytes, one at a time: of a tar, plain or compressed, else the one file that it is.
 
-    A tar with a member outside its root has no members. A single file is
-    main.tex if it looks like LaTeX, paper.pdf if like a PDF.
+    Names and sizes are read before any member is. A tar with a member outside
+    its root has no members; one that breaks off gives those before the break. A
+    single file is main.tex if it looks like LaTeX, paper.pdf if like a PDF.
     """
+
+    def wanted(path: str, size: int) -> bool:
+        return path.lower().endswith(suffixes) and (most_bytes is None or size < most_bytes)
+
     try:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-            files = [m for m in tar.getmembers() if m.isfile()]
-            for m in files:
-                where = posixpath.normpath(m.name)
-                if where.startswith(("/", "..")):
-                    return []
-            return [(m.name, tar.extractfile(m).read()) for m in files]
-    except (tarfile.TarError, EOFError, OSError):
-        pass
+        tar = tarfile.open(fileobj=io.BytesIO(content), mode="r:*")
+        files = [m for m in tar.getmembers() if m.isfile()]
+    except (tarfile.TarError, EOFError, OSError, zlib.error):
+        yield from ((n, d) for n, d in _single(content, name) if wanted(n, len(d)))
+        return
+    with tar:
+        if any(posixpath.normpath(m.name).startswith(("/", "..")) for m in files):
+            return
+        for m in files:
+            if wanted(m.name, m.size):
+                try:
+                    yield m.name, tar.extractfile(m).read()
+                except (tarfile.TarError, EOFError, OSError, zlib.error):
+                    return
+
+
+def _single(content: bytes, name: str) -> list[tuple[str, bytes]]:
     try:
         data = gzip.decompress(content)
-    except (OSError, EOFError):
+    except (OSError, EOFError, zlib.error):
         data = content
     head = data[:512].decode("utf-8", "ignore")
     out = re.sub(r"\.gz$", "", name)
@@ -62,17 +76,19 @@ def unpack(content: bytes, name: str) -> list[tuple[str, bytes]]:
 
 
 def archive_members(archives: DataFrame, suffixes: tuple[str, ...] = (".tex",), most_bytes: int | None = None) -> DataFrame:
-    """(arxiv_id, member, text) of members with a suffix, decoded as UTF-8 without what is not; larger ones left out."""
+    """(arxiv_id, member, text) of members with a suffix, decoded as UTF-8 without what is not; larger ones left out.
+
+    An archive that can't be read has no members and stops no other. A task holds one member at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["arxiv_id", "member", "text"]
         for batch in batches:
             for i in range(batch.num_rows):
                 paper, path = batch.column("arxiv_id")[i].as_py(), batch.column("path")[i].as_py()
-                files = unpack(batch.column("content")[i].as_py() or b"", path.rsplit("/", 1)[-1])
-                rows = [(n, d.decode("utf-8", "ignore")) for n, d in files if n.lower().endswith(suffixes) and (most_bytes is None or len(d) < most_bytes)]
-                yield pa.RecordBatch.from_pydict(
-                    {"arxiv_id": pa.array([paper] * len(rows), pa.string()), "member": pa.array([n for n, _ in rows], pa.string()), "text": pa.array([t for _, t in rows], pa.string())}
-                )
+                for member, data in members(batch.column("content")[i].as_py() or b"", path.rsplit("/", 1)[-1], suffixes, most_bytes):
+                    row = [pa.array([x], pa.string()) for x in (paper, member, data.decode("utf-8", "ignore"))]
+                    yield pa.RecordBatch.from_arrays(row, names=names)
 
     return archives.select("path", "arxiv_id", "content").mapInArrow(run, "arxiv_id string, member string, text string")
 
@@ -91,40 +107,54 @@ def combined_sources(members: DataFrame, keep: int = 5) -> DataFrame:
     return files.select("arxiv_id", F.array_join("f.text", "\n\n").alias("tex"))
 
 
-_BEGIN, _END, _FORMULA = re.compile(r"\\begin\{([A-Za-z*]+)\}"), re.compile(r"\\end\{([A-Za-z*]+)\}"), re.compile(T.MATH)
+_FORMULA = re.compile(T.MATH)
+#: A line with the first environment that it opens and the first that it closes.
+_LINE = re.compile(r"^(?=.*?\\begin\{(?P<opens>[A-Za-z*]+)\}|)(?=.*?\\end\{(?P<closes>[A-Za-z*]+)\}|).*$", re.M)
+
+
+def environments(text: str) -> tuple[list[tuple[int, int]], int]:
+    """Offsets (start, end) of the lines of each math environment that closes, in the order of closing, and where the first starts that never does.
+
+    A line opens by its first begin, if that is of a math environment, and then
+    closes nothing; else it closes the innermost open one if its first end is of that name.
+    """
+    closed: list[tuple[int, int]] = []
+    pending: list[tuple[str, int]] = []
+    for line in _LINE.finditer(text):
+        if line["opens"] in hints.MATH_ENVIRONMENTS:
+            pending.append((line["opens"], line.start()))
+        elif pending and pending[-1][0] == line["closes"]:
+            closed.append((pending.pop()[1], line.end()))
+    return closed, pending[0][1] if pending else len(text) + 1
+
+
+def _outside(text: str, start: int, end: int, holes: list[tuple[int, int]]) -> list[tuple[int, str]]:
+    """The whole lines of text[start:end] that lie in no hole, as (offset, lines)."""
+    parts, at = [], start
+    for s, e in sorted(holes):
+        if s > at:
+            parts.append((at, text[at : s - 1]))
+        at = max(at, e + 1)
+    return [*parts, (at, text[at:end])] if at <= end else parts
 
 
 def take_math(tex: str) -> tuple[str, list[str]]:
     """tex with formulas and math environments replaced by numbered placeholders, and those in order.
 
-    Delimited formulas come first. Then lines are read: one that opens a math
-    environment starts a block, and a line that closes the innermost open block
-    ends it (a line that does both only opens). Lines of blocks that never
-    close come out as text at the end.
+    Delimited formulas are numbered first, then environments in the order in
+    which they close. An environment inside another is a block of its own and no part of
+    the outer one; its placeholder stands before that of the outer one. Lines from
+    the first environment that never closes come out as text at the end.
     """
-    found: list[str] = []
-
-    def put(block: str) -> str:
-        found.append(block)
-        return f" [MATH_{len(found) - 1}] "
-
-    prose: list[str] = []
-    inside: list[tuple[str, list[str]]] = []
-    for line in _FORMULA.sub(lambda m: put(m.group(0)), tex).splitlines():
-        begin = _BEGIN.search(line)
-        if begin and begin.group(1) in hints.MATH_ENVIRONMENTS:
-            inside.append((begin.group(1), [line]))
-        elif inside:
-            name, lines = inside[-1]
-            lines.append(line)
-            end = _END.search(line)
-            if end and end.group(1) == name:
-                inside.pop()
-                prose.append(put("\n".join(lines)))
-        else:
-            prose.append(line)
-    prose += [line for _, lines in inside for line in lines]
-    return "\n".join(prose), found
+    formulas = _FORMULA.findall(tex)
+    numbers = iter(range(len(formulas)))
+    text = "\n".join(_FORMULA.sub(lambda _: f" [MATH_{next(numbers)}] ", tex).splitlines())
+    spans, rest = environments(text)
+    blocks = ["\n".join(p for _, p in _outside(text, s, e, [x for x in spans if s < x[0] and x[1] <= e])) for s, e in spans]
+    holders = [(end, f" [MATH_{len(formulas) + n}] ") for n, (_, end) in enumerate(spans)]
+    prose = sorted(_outside(text, 0, min(rest - 1, len(text)), [x for x in spans if x[0] < rest]) + holders) if rest else sorted(holders)
+    tail = _outside(text, rest, len(text), [x for x in spans if x[0] > rest]) if rest <= len(text) else []
+    return "\n".join(p for _, p in [*prose, *tail]), formulas + blocks
 
 
 def separate_math(sources: DataFrame) -> DataFrame:

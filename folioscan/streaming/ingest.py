@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscan.operators.ingest import not_yet_present
+from folioscan.runtime import exists
 from folioscan.sources.records import CHUNK_SCHEMA
 
 RECORD_SCHEMA = "arxiv_id string, " + CHUNK_SCHEMA
@@ -26,15 +27,14 @@ def ingest(arrivals: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     df and norms change with every batch and are counted when an index is built of the table.
     """
     spark = arrivals.sparkSession
+    ids = f"{store.rstrip('/')}-papers"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = batch.where("arxiv_id is not null and id is not null").dropDuplicates(["arxiv_id", "id"])
-        try:
-            present = spark.read.parquet(store).where(F.col("batch") < batch_id)
-            rows = not_yet_present(rows, present)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        if exists(spark, ids):
+            rows = not_yet_present(rows, spark.read.schema("arxiv_id string, batch long").parquet(ids).where(F.col("batch") < batch_id))
         rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        # The papers of a batch are kept apart, so that later ones need not read its records.
+        spark.read.parquet(f"{store}/batch={batch_id}").select("arxiv_id").distinct().write.mode("overwrite").parquet(f"{ids}/batch={batch_id}")
 
     return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -75,7 +75,17 @@ def test_archives(spark, root):
     assert texts["0704.0001v1"].endswith("Ref") and "% a comment" not in texts["0704.0001v1"]
 
 
+def test_broken_archives_and_large_members():
+    whole = tar(a_dot_tex="x" * 100_000, b_dot_tex="y")
+    assert [n for n, _ in A.members(whole, "p.tar.gz", (".tex",), 1_000)] == ["b.tex"]
+    assert list(A.members(whole[: len(whole) // 2], "p.tar.gz", (".tex",))) == [] and list(A.members(b"", "p.gz", (".tex",))) == []
+
+
 def test_take_math():
+    assert A.take_math("p\n\\begin{equation}\n\\begin{align}\n1\n\\end{align}\n2") == ("p\n [MATH_0] \n\\begin{equation}\n2", ["\\begin{align}\n1\n\\end{align}"])
+    assert A.take_math("\n\nq\n\\begin{equation}\n1\n\\end{equation}\n\nz\n") == ("\n\nq\n [MATH_0] \n\nz", ["\\begin{equation}\n1\n\\end{equation}"])
+    assert A.take_math("") == ("", []) and A.take_math("\\begin{align}") == ("\\begin{align}", [])
+    assert A.take_math("\\begin{proof} \\begin{align}\n\\end{align}")[1] == []
     prose, blocks = A.take_math("a $x$ b\n\\begin{align}\n1\n\\begin{gather}\n2\n\\end{gather}\n3\n\\end{align}\nc\n\\begin{equation}\nopen")
     assert blocks == ["$x$", "\\begin{gather}\n2\n\\end{gather}", "\\begin{align}\n1\n3\n\\end{align}"]
     assert prose.split("\n")[-2:] == ["\\begin{equation}", "open"] and "[MATH_1]" in prose
@@ -86,6 +96,8 @@ def test_metadata(spark):
     latex = spark.createDataFrame([("1", TEX), ("2", "  "), ("3", None)], "arxiv_id string, text string")
     row = M.from_latex(latex).collect()
     assert [(r.arxiv_id, r.title, r.authors, r.abstract) for r in row] == [("1", "On Rings", ["A. One", "B. Two", "C. Three"], "We study $x$.")]
+    assert M.argument(r"\Title {On \emph{the \textbf{big} ring}, $x^{2}$} {z}", "title") == r"On \emph{the \textbf{big} ring}, $x^{2}$"
+    assert M.display_text(r"On \emph{the \textbf{big} ring}, {x} \LaTeX y") == "On the big ring, x y" and M.argument(r"\title{open", "title") == ""
     chunks = spark.createDataFrame([("4", "chunk_1", "Paragraph ", " second "), ("4", "chunk_0", "equation", "first"), ("5", "chunk_0", None, "any"), ("6", "chunk_0", "paragraph", None)], "arxiv_id string, id string, kind string, text string")
     assert {(r.arxiv_id, r.abstract) for r in M.from_chunks(chunks).collect()} == {("4", "second"), ("5", "any")}
     cache = spark.createDataFrame([("1v1", "old", None, None, "a", None, "api", 1), ("1", "new", ["x"], ["s"], "b", "d", "api", 2), (None, "n", None, None, None, None, None, None)], "arxiv_id string, title string, authors array<string>, subjects array<string>, abstract string, doi string, source string, ts long")
@@ -118,8 +130,9 @@ def test_choosing(spark, tmp_path):
     assert {r.arxiv_id for r in G.first_papers(rows, 2).collect()} == {"a", "b"}
     mini = G.mini_dataset(rows, 1, 11).collect()
     assert sorted((int(r.id[6:]) for r in mini)) == list(range(11))
-    assert G.build(rows, "incremental", G.allowlisted(rows, ids)).n_chunks == 36
-    assert G.build(rows, "recent", G.allowlisted(rows, ids)).n_chunks == 24 and G.build(rows, limit=1).n_chunks == 12
+    present = G.build(rows, allowed=ids)
+    assert present.n_chunks == 12 and G.build(rows, "incremental", present).n_chunks == 36
+    assert G.build(rows, "recent", present).n_chunks == 24 and G.build(rows, limit=1).n_chunks == 12
     G.append_manifest(str(tmp_path / "m"), rows)
     assert spark.read.parquet(str(tmp_path / "m")).count() == 3
     with pytest.raises(ValueError):
@@ -146,16 +159,38 @@ def test_harvest(spark, tmp_path):
 
     assert list(H.listing(fetch, "http://host/oai", delay=0)) == ["1", "math/3"] and "resumptionToken=next" in asked[1]
     assert H.parse_listing(b"broken") == ([], None)
-    (tmp_path / "p.xml").write_text(pages[0])
-    spark.dataSource.register(H.ListingSource)
-    assert [r.arxiv_id for r in spark.read.format("oai_listing").load(str(tmp_path)).collect()] == ["1"]
-    feed = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://x/abs/1v2</id><title>A  b</title><summary> s </summary><author><name>N</name></author><category term="math.AT"/></entry></feed>'
-    assert H.parse_feed(feed.encode(), 5)[0] | {"doi": None} == {"arxiv_id": "1v2", "title": "A b", "authors": ["N"], "subjects": ["math.AT"], "abstract": "s", "doi": None, "source": "api", "ts": 5}
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "p.xml").write_text(pages[0])
+    assert [r.arxiv_id for r in H.read_listings(spark, str(tmp_path / "l")).collect()] == ["1"]
+    feed = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://x/abs/math/1v2</id><title>A  b</title><summary> s </summary><author><name>N</name></author><category term="math.AT"/></entry></feed>'
+    want = {"arxiv_id": "math/1", "title": "A b", "authors": ["N"], "subjects": ["math.AT"], "abstract": "s", "doi": None, "source": "arxiv", "ts": 5}
+    assert H.parse_feed(feed.encode(), 5) == [want]
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.xml").write_text(feed)
-    spark.dataSource.register(H.FeedSource)
-    assert spark.read.format("atom_metadata").load(str(tmp_path / "f")).first().subjects == ["math.AT"]
-    assert H.download(lambda a: b"x", "http://x", "math/1", str(tmp_path)) == "ok" and H.download(lambda a: b"x", "http://x", "math/1", str(tmp_path)) == "skip"
+    (tmp_path / "f" / "b.xml").write_text("broken")
+    assert [r.asDict() | {"ts": 5} for r in H.read_feeds(spark, str(tmp_path / "f")).collect()] == [want]
+
+
+def test_fetching_reports_every_id(spark, tmp_path):
+    entry = "<entry><id>http://x/abs/{}</id><title>t</title></entry>"
+
+    def fetch(address):
+        if "bad" in address:
+            raise OSError("down")
+        names = [n for n in ("1", "2") if n in address]
+        return ('<feed xmlns="http://www.w3.org/2005/Atom">' + "".join(map(entry.format, names)) + "</feed>").encode()
+
+    ids = spark.createDataFrame([("1v1",), ("2",), ("3",), ("bad",), (None,)], "arxiv_id string").coalesce(1)
+    cache = str(tmp_path / "cache")
+    first = {r.asked: r.error for r in H.refresh_metadata(ids, cache, fetch, "http://h", 1).collect()}
+    assert first == {"1": None, "2": None, "3": "absent", "bad": "OSError: down"}
+    assert {r.arxiv_id for r in spark.read.parquet(cache).collect()} == {"1", "2"}
+    assert {r.asked for r in H.refresh_metadata(ids, cache, fetch, "http://h", 1).collect()} == {"3", "bad"}
+    got = {r.arxiv_id: (r.status, r.content) for r in H.download(ids, fetch, lambda a: f"http://h/{a}", ids.where("arxiv_id = '3'")).collect()}
+    assert got["3"] == ("skip", None) and got["bad"] == ("err:OSError", None) and got["2"][0] == "ok" and got["2"][1].startswith(b"<feed")
+    text = gzip.compress(TEX.encode())
+    table = H.download(ids.where("arxiv_id = '2'"), lambda a: text, lambda a: a).where("status = 'ok'")
+    assert [(r.arxiv_id, r.member) for r in A.archive_members(table).collect()] == [("2", "main.tex")]
 
 
 def test_jobs(spark, tmp_path):
@@ -164,7 +199,10 @@ def test_jobs(spark, tmp_path):
     job = jobs.start("build", lambda report: (report(done=1), time.sleep(0.5)))
     assert job and jobs.start("build", lambda report: None) is None
     jobs.wait("build", 10)
-    assert jobs.status("build")["state"] == "done"
+    assert jobs.status("build")["state"] == "done" and jobs.progress("build") == {}
+    jobs.run_all("count", lambda: spark.range(100).count(), lambda n: {"rows": n})
+    jobs.wait("count", 60)
+    assert jobs.status("count")["rows"] == 100
     jobs.start("build", lambda report: 1 / 0)
     jobs.wait("build", 10)
     assert jobs.status("build")["state"] == "failed"
