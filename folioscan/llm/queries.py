@@ -63,13 +63,14 @@ def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _cleaned(spark: SparkSession, d: str) -> DataFrame:
-    rows = _paragraphs(spark, d).where("id is not null").dropDuplicates(["id"])
-    return markup.clean_texts(rows, ("id",), "text")
+def _cleaned(spark: SparkSession, d: str, cleaned: bool = True) -> DataFrame:
+    rows = _paragraphs(spark, d).where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+    return markup.clean_texts(rows, ("id",), "text", cleaned)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _cleaned(spark, d).select(F.col("id").alias("chunk_id"), F.explode("families").alias("family"))
+    """The families of the tags that the scan of the operator finds."""
+    return _cleaned(spark, d, False).select(F.col("id").alias("chunk_id"), F.explode("families").alias("family"))
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -183,6 +184,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LETTER = r"\p{L}\p{N}_"
+#: The families' patterns again, without looking around: what stands beside a mark is part of the match.
+_MARKS = {
+    "html": [markup._TAG, markup._COMMENT, markup._REF],
+    "markdown": [
+        r"^ {0,3}#{1,6}[ \t]+\S", r"\*\*[^\s*](?:[^*]*[^\s*])?\*\*", rf"(?:^|[^{_LETTER}])__[^\s_](?:[^\n]*[^\s_])?__(?:$|[^{_LETTER}])", r"^ {0,3}(?:```|~~~)", r"`[^`\n]+`",
+        r'(?:^|[^\[])!?\[[^\[\]\n]+\]\([^()\s]+(?:\s+"[^"]*")?\)', r"^ {0,3}[-+][ \t]+\S", r"^ {0,3}>[ \t]*[^\s\d=]", r"^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+[ \t]*:?-*:?[ \t]*\|?[ \t]*$",
+    ],
+    "wiki": [
+        r"\[\[[^\[\]\n]+\]\]", r"\{\{[ \t]*[A-Za-z#!:][^{}]*\}\}", r"^[ \t]*\{\|",
+        *[rf"(?:^|[^{_LETTER}')\]])'{{{n}}}[^\s'](?:[^\n]*[^\s'])?'{{{n}}}(?:$|[^{_LETTER}'])" for n in (2, 3, 4, 5)],
+        *[rf"^={{{n}}}[ \t]*[^\s=][^\n]*={{{n}}}[ \t]*$" for n in range(1, 7)],
+    ],
+    "latex": [r"\\(?:begin|end)\s*\{", r"\\[A-Za-z@]+"],
+}
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _found_marks() -> str:
+    tests = " union all ".join(
+        f"select chunk_id, '{name}' as family from b where regexp_matches(bare, {_sql_text(('(?ims)' if name == 'html' else '(?m)') + '|'.join(f'(?:{p})' for p in patterns))})" for name, patterns in _MARKS.items()
+    )
+    return f"""with t as (select id as chunk_id, min(text) as text from chunk where lower(trim(kind)) = 'paragraph' and id is not null and text is not null group by 1),
+        b as (select chunk_id, regexp_replace(text, {_sql_text(markup.FORMULA_PATTERN)}, chr(57344), 'g') as bare from t) {tests}"""
+
+
 _FACTS = "select distinct token_id, chunk_id, tf from posting where token_id is not null and chunk_id is not null"
 _WEIGHTS = f"""
 with facts as ({_FACTS}),
@@ -230,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
             s as (select chunk_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?;]|\\\\)\s', '\1' || chr(10), 'g'), '\r', chr(10), 'g'), '\n')) as part from t)
             select chunk_id, length(any_value(text))::bigint as chars, case when length(any_value(text)) > 2000 and max(length(part)) > 2000 then 'forced' else 'natural' end as cut, true as fits, true as whole
             from s join t using (chunk_id) group by 1""",
+        "p3_found": _found_marks(),
         "p5_found": f"""{_WEIGHTS} select distinct w.chunk_id, w.token_id from w join c using (chunk_id)
             where w.w / c.norm >= 0.45 and c.terms >= 20
             and w.chunk_id in (select id from chunk where lower(trim(kind)) = 'paragraph')""",

@@ -56,9 +56,7 @@ def test_split_rows(spark):
     assert split_texts(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
 
 
-@pytest.mark.parametrize(
-    ("text", "families"),
-    [
+FAMILY_CASES = (
         ("the pairing <f, g> and n < 5 and m > 3, R&D, a <= b", []),
         ("where f''(0) = 1 and f''(x) of size |S|. item #3, C#2, 3 * 4 * 5, max_degree, [12, 14] [MATH_3] 2 ~ 3", []),
         (r"a formula $\alpha_1 <b> **x**$ and \(\beta\) and \[ \frac{a}{b} \]", []),
@@ -82,8 +80,10 @@ def test_split_rows(spark):
         (r"\emph{the} (see~\ref{thm:a})", ["latex"]),
         (r"a \begin{itemize} \item b \end{itemize}", ["latex"]),
         ("a\n[[Category:B]] \\medskip", ["wiki", "latex"]),
-    ],
 )
+
+
+@pytest.mark.parametrize(("text", "families"), FAMILY_CASES)
 def test_families(text, families):
     assert markup.families(text) == families
 
@@ -103,9 +103,54 @@ def test_clean(text, clean):
     assert markup.clean(text)[1] == clean
 
 
-def test_content_region():
-    lo, hi = markup.content_region("<a><a><a>x<a><a><a> one two three four five <b>six</b> seven <a><a>y<a><a>")
-    assert "one two" in (t := "<a><a><a>x<a><a><a> one two three four five <b>six</b> seven <a><a>y<a><a>"[lo:hi]) and "six" in t and "y" not in t
+def test_content_is_kept_and_code_is_verbatim():
+    def clean(text):
+        return markup.clean(text)[1]
+
+    assert clean("intro <table><tr><td>1</td><td>2</td></tr></table> short") == "intro\n\n1 | 2\n\nshort"
+    assert clean("<pre>if x:\n    y &lt; 1</pre> after") == "```\nif x:\n    y < 1\n```\nafter"
+    assert clean("so **b**\n```\ndef f():\n    **kw\n```\nend") == "so b\n```\ndef f():\n    **kw\n```\nend"
+    assert clean("\\emph{a}\n\\begin{verbatim}\n  \\foo{x} %\n\\end{verbatim}") == "a\n\n```\n  \\foo{x} %\n```"
+    nested = "deep"
+    for _ in range(10):
+        nested = rf"\emph{{{nested}}}"
+    assert clean(f"a {nested} b") == "a deep b"
+    assert clean(r"x\footnote{see \textbf{it \emph{now}}} \cite{a{b}c} y {\bf z} and {set}") == "x (see it now) y z and {set}"
+    assert clean('<div><a href="/">Home</a> <a>About</a></div> <p>Every bounded map of a closed set has a limit.</p> tail <b>word</b>') == "Every bounded map of a closed set has a limit.\ntail word"
+    assert clean(r"\section{A} $x_1$ \verb|\y{z}|") == "## A\n$x_1$ `\\y{z}`"
+
+
+def test_region_on_held_out_pages():
+    score = markup.learn_weights(markup.labelled_pages())
+    assert score["word"] > 0 and all(v < 0 for k, v in score.items() if k != "word") and score["html a"] < score["html b"]
+    right = total = 0
+    for before, content, after in markup.labelled_pages(200, seed=99):
+        page = "\n".join((before, content, after))
+        bare = markup.hold(page)[0]
+        tags = markup.scan(bare)
+        lo, hi = markup.content_region(bare, tags)
+        start, end = len(before), len(before) + 2 + len(content)
+        for s, e, kind in markup.pieces(bare, tags):
+            if kind == "word":
+                total += 1
+                right += (lo <= s and e <= hi) == (start <= s and e <= end)
+    assert right / total > 0.97
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["one ", "two", "<b>", "</b>", "<td>", "<table>", "**", "__", "}", "\\emph{", "''", "\n", "- ", "# ", "{|", "`", "$a$", "&amp;", "== "]), max_size=30))
+def test_clean_loses_no_words(parts):
+    text = "".join(parts)
+    found, out = markup.clean(text)
+    assert (out == text) if not found else len(re.findall("one|two", out)) == len(re.findall("one|two", text)), (text, out)
+
+
+def test_suspects_cover_all_families(spark):
+    held = [t for t, f in FAMILY_CASES if f]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(held)], "id long, t string")
+    got = {r.id: list(r.families) for r in markup.clean_texts(rows, ("id",), "t").collect()}
+    assert got == {i: markup.families(t) for i, t in enumerate(held)} and all(got.values())
+    assert {r.id: list(r.families) for r in markup.clean_texts(rows, ("id",), "t", False).collect()} == got
 
 
 def test_clean_rows(spark):
