@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.llm.sizes import label, salted_rank, token_count
-from folioscan.runtime import durable
+from folioscan.runtime import broadcast_if_small, durable
 
 #: Tokens of a budget that are fitted exactly; what lies above is taken in proportion and then by large lengths.
 DP_WINDOW = 16_384
@@ -51,7 +51,9 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, window: int =
 
     A share of every length, then the largest lengths down to the window, then
     an exact bounded subset sum of the rest. Of a rest over 16 windows, the
-    largest documents that fit are taken first.
+    largest documents that fit are taken first. The last
+    step is the best of all choices of the documents that are left; the steps before
+    it are not tried in other ways.
     """
     total = sum(a * b for a, b in zip(lengths, counts))
     if budget >= total:
@@ -124,7 +126,7 @@ class SourceMix:
             )
 
         # A source's group has one row for each distinct length, however many documents it holds.
-        joined = self.hist.where("source is not null").join(F.broadcast(self.targets), "source")
+        joined = self.hist.where("source is not null").join(broadcast_if_small(self.targets), "source")
         return joined.groupBy("source").applyInPandas(fit, "source string, n_tokens long, docs long, repeats long, extra long")
 
     def shares(self) -> DataFrame:

@@ -125,6 +125,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers hold in all: documents, pieces, tokens, split documents, and how many containers are over capacity."""
+    rows = pack(table(spark, d, "documents"), "doc_id", "text")
+    over = rows.groupBy("container_id").agg(F.sum("length").alias("held")).where("container_id is not null and held > 2048").agg(F.count(F.lit(1)).alias("over_capacity"))
+    first = F.col("piece_no") == 0
+    sums = rows.agg(
+        F.sum(first.cast("long")).alias("documents"), F.sum((F.col("length") > 0).cast("long")).alias("pieces"), F.sum("length").alias("tokens"),
+        F.sum((first & (F.col("n_pieces") > 1)).cast("long")).alias("split"), F.sum(((F.col("length") > 0) & F.col("container_id").isNull()).cast("long")).alias("unplaced"),
+    )
+    return sums.withColumn("k", F.lit(1)).join(over.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 def _mix(spark: SparkSession, d: str) -> SourceMix:
     return SourceMix(table(spark, d, "documents"), table(spark, d, "mix_target"), "doc_id", "text", "source")
 
@@ -141,6 +153,22 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).documents().withColumnRenamed("id", "doc_id")
 
 
+def p9_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """What each source has and may give; p9_shares without what was taken."""
+    return _mix(spark, d).shares().select("source", "target_share", "max_repeats", "available_tokens", F.round("budget_tokens", 6).alias("budget_tokens"), "short")
+
+
+def p9_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Of the documents in the mix, by source: whether none comes more often than it may, and whether their tokens keep to the budget and come within 64 of it."""
+    mix = _mix(spark, d)
+    shares = mix.shares().select("source", "max_repeats", "budget_tokens", F.least("budget_tokens", F.col("max_repeats") * F.col("available_tokens")).alias("most"), F.col("used_tokens").alias("said"))
+    rows = mix.documents().groupBy("source").agg(F.sum(F.col("times") * F.col("n_tokens")).alias("used"), F.max("times").alias("times"))
+    return rows.join(shares, "source").select(
+        "source", (F.col("times") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("used") == F.col("said")).alias("as_said"),
+        (F.col("used") <= F.col("budget_tokens")).alias("not_over"), (F.col("most") - F.col("used") < 65).alias("near"),
+    )
+
+
 def _graded(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return rep.graded(docs, "doc_id", "text", rep.fit_quality(docs, "doc_id", "text")).withColumnRenamed("id", "doc_id")
@@ -179,7 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_classes, p2_found, p2_pieces, p2_coverage, p3_found, p3_clean, p3_tokens, p5_found, p5_weights, p6_found, p6_nearest,
-            p7_found, p7_terms, p8_found, p8_containers, p9_found, p9_shares, p9_documents, p10_found, p10_shares, p10_quality, p10_calibration,
+            p7_found, p7_terms, p8_found, p8_containers, p8_totals, p9_found, p9_shares, p9_budgets, p9_totals, p9_documents, p10_found, p10_shares, p10_quality, p10_calibration,
         )
     }
 
@@ -239,6 +267,27 @@ where m.max_repeats * coalesce(own.n, 0) < m.target_share * total.n
 """
 
 
+_SHARES = f"""
+with d as (select {_LABEL} as source, {_DUCK_TOKENS} as n from documents where doc_id is not null),
+own as (select source, sum(n)::bigint as n from d group by 1), total as (select sum(n)::bigint as n from d),
+s as (select lower(trim(m.source)) as source, target_share, max_repeats, coalesce(own.n, 0) as available_tokens, round(target_share * total.n, 6) as budget_tokens,
+    max_repeats * coalesce(own.n, 0) < target_share * total.n as short from mix_target m left join own on own.source = lower(trim(m.source)) cross join total)
+"""
+_SHINGLES = r"""
+with recursive c as (select id, min(paper_id) as paper_id, min(text) as text from chunk where lower(trim(kind)) = 'paragraph' and id is not null and text is not null group by 1),
+w as (select id, paper_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from c),
+g as (select distinct id, s from (select id, array_to_string(w[i:i+2], ' ') as s from (select id, w, unnest(generate_series(1, len(w) - 2)) as i from w where len(w) >= 20))),
+n as (select id, count(*) as n from g group by 1),
+p as (select x.id as a, y.id as b, count(*) as common from g x join g y using (s) where x.id < y.id group by 1, 2),
+l as (select a, b from p join n x on x.id = a join n y on y.id = b where common >= 0.6 * (x.n + y.n - common) - 1e-9),
+e as (select a, b from l union all select b, a from l),
+r as (select id as a, id as b from n union select r.a, e.b from r join e on e.a = r.b)
+"""
+_UNITS = """
+with v as (select id, any_value(v) as v from chunk_svd where id is not null and len(v) = 64 and len(list_filter(v, lambda x: x is not null and isfinite(x))) = 64
+    and len(list_filter(v, lambda x: x <> 0)) > 0 group by id),
+u as (select id, list_transform(v::double[], lambda x: x / sqrt(list_dot_product(v::double[], v::double[]))) as v from v),
+"""
 _RUNS = r"""
 with w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
 g as (select doc_id, unnest(generate_series(1, len(w) - 4)) as i, w from w where len(w) >= 5),
@@ -251,6 +300,18 @@ s as (select doc_id, len(w)::bigint as n, coalesce(repeated, 0)::bigint as repea
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"{_SHINGLES} select a as chunk_a, b as chunk_b from l join c x on x.id = a join c y on y.id = b where x.paper_id <> y.paper_id",
+        "p1_classes": f"{_SHINGLES}, k as (select a, min(b) as class_id from r group by 1) select n.id as chunk_id, class_id, (select count(*) from e where e.a = n.id) as links from n join k on k.a = n.id",
+        "p6_found": f"""{_UNITS} s as (select a.id as id, b.id as other, list_dot_product(a.v, b.v) as cosine from u a join u b on a.id <> b.id),
+            t as (select *, row_number() over (partition by id order by cosine desc, other) as r from s)
+            select distinct least(id, other) as id_a, greatest(id, other) as id_b from t where r <= 10 and cosine >= 0.9""",
+        "p6_nearest": f"""{_UNITS} s as (select a.id as id, b.id as other, list_dot_product(a.v, b.v) as cosine from u a join u b on a.id <> b.id where a.id % 20 = 0),
+            t as (select *, row_number() over (partition by id order by cosine desc, other) as r from s)
+            select id, other, round(cosine, 6) as cosine, r::int as rank from t where r <= 10""",
+        "p8_totals": f"""select count(*) as documents, sum(ceil(n / 2048.0))::bigint as pieces, sum(n)::bigint as tokens, count(*) filter (n > 2048) as split, 0::bigint as unplaced, 0::bigint as over_capacity
+            from (select {_DUCK_TOKENS} as n from documents where doc_id is not null)""",
+        "p9_budgets": f"{_SHARES} select * from s",
+        "p9_totals": f"{_SHARES} select source, true as repeats_kept, true as as_said, true as not_over, true as near from s where available_tokens > 0",
         "p2_found": r"""
             with t as (select distinct id as chunk_id, text from chunk where id is not null and length(text) > 2000),
             s as (select chunk_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?;]|\\\\)\s', '\1' || chr(10), 'g'), '\r', chr(10), 'g'), '\n')) as part from t)

@@ -233,7 +233,11 @@ class VectorIndex:
         full = {r["cell"] for r in coded.groupBy("cell").agg(rows).where(F.col("n") > BLOCK_ROWS).collect()}
         words = coded.where(F.col("cell").isin(sorted(full))).groupBy("cell", "word").agg(rows).collect() if full else []
         layout = [(r["cell"], r["word"], -(-r["n"] // BLOCK_ROWS)) for r in words]
-        blocks = {(c, w): n for c, w, n in layout}
+        # Blocks by cell and codeword; the last column, which -1 means, is the whole cell.
+        blocks = np.zeros((cells + 1, size + 1), np.int64)
+        blocks[:, -1] = 1
+        for c, w, n in layout:
+            blocks[c, w] = n
         plan = coded.sparkSession.sparkContext.broadcast((np.array([c in full for c in range(cells + 1)]), blocks))
 
         def places(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,7 +273,10 @@ class VectorIndex:
 
         tries = asked.select("q").mapInArrow(tally, "cell int, word int, n long").groupBy("cell", "word").agg(F.sum("n").alias("n"))
         splits = {(r["cell"], r["word"]): -(-r["n"] // QUERY_ROWS) for r in tries.where(F.col("n") > QUERY_ROWS).collect()}
-        split = coded.sparkSession.sparkContext.broadcast(splits)
+        turns_of = np.ones((cells + 1, size + 1), np.int64)
+        for key, n in splits.items():
+            turns_of[key] = n
+        split = coded.sparkSession.sparkContext.broadcast(turns_of)
 
         def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many = plan.value[1]
@@ -277,12 +284,8 @@ class VectorIndex:
                 if not batch.num_rows:
                     continue
                 row, cell, word = places(unit_steps(batch))
-                keys = list(zip(cell.tolist(), word.tolist()))
-                count = np.array([1 if w < 0 else many.get((c, w), 0) for c, w in keys], dtype=np.int64)
-                turn = np.zeros(len(row), dtype=np.int64)
-                if split.value:
-                    turn = row % np.array([split.value.get(k, 1) for k in keys])
-                part = np.concatenate([np.arange(n) for n in count]) if (count != 1).any() else np.zeros(len(row), dtype=np.int64)
+                count, turn = many[cell, word], row % split.value[cell, word]
+                part = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 cols = [pa.array(np.repeat(x, count).astype(np.int32)) for x in (cell, word)]
                 take = pa.array(np.repeat(row, count))
                 cols += [pa.array(part.astype(np.int32)), pa.array(np.repeat(turn, count).astype(np.int32))]
@@ -527,7 +530,7 @@ class VectorIndex:
         dims = self.dims
         # Only vectors in a pair are read on; if their ids are few they go to the vectors, else both are shuffled.
         named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.reps.select("id", "h"), "id")
-        named = broadcast_if_small(durable(named, "pair-ids"), 48)
+        named = broadcast_if_small(durable(named, "pair-ids"))
         picked = durable(self.source.join(named, ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "v"), "pair-vectors")
         left = picked.select(F.col("id").alias("a"), F.col("v").alias("va"))
         right = picked.select(F.col("id").alias("b"), F.col("v").alias("vb"))
