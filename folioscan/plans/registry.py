@@ -14,11 +14,14 @@ from folioscan.operators import ingest as G
 from folioscan.operators import latent as L
 from folioscan.operators import metadata as M
 from folioscan.operators import search as S
-from folioscan.operators.indexing import Index, index_from_chunks, index_from_tables, paper_vocabulary, per_paper_tfidf, unique_papers
+from folioscan.operators.indexing import Index, IndexReader, index_from_chunks, index_from_tables, paper_vocabulary, per_paper_tfidf, publish, unique_papers
 from folioscan.operators.skew import heavy_keys, key_quantiles, key_statistics
 from folioscan.plans import fixtures, sql
+from folioscan.runtime import durable, generation, keeping, scratch_path, table
 from folioscan.sources import archives as A
-from folioscan.runtime import durable, generation, keeping, table
+from folioscan.sources import harvest as H
+from folioscan.sources import records as R
+from folioscan.streaming.ingest import RECORD_SCHEMA, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -244,6 +247,61 @@ def latex_metadata(spark: SparkSession, d: str) -> DataFrame:
     return found.select("arxiv_id", "title", F.array_join("authors", "|").alias("authors"), "abstract", "source")
 
 
+# --- sources and stores -----------------------------------------------------
+
+
+@query
+def chunk_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.read_chunks(spark, fixtures.record_folder(spark))
+    return rows.select("arxiv_id", "id", "kind", "text", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def oai_listing(spark: SparkSession, d: str) -> DataFrame:
+    return H.read_listings(spark, fixtures.listing_folder(spark))
+
+
+@query
+def atom_feed(spark: SparkSession, d: str) -> DataFrame:
+    rows = H.read_feeds(spark, fixtures.feed_folder(spark))
+    return rows.select("arxiv_id", "title", F.array_join("authors", "|").alias("authors"), F.array_join("subjects", "|").alias("subjects"), "abstract", "doi", "source")
+
+
+@query
+def metadata_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of all papers that a cache of paper_meta lacks, fetched and written through to it."""
+    cache = scratch_path(spark, "metadata-cache")
+    table(spark, d, "paper_meta").write.parquet(cache)
+    return H.refresh_metadata(table(spark, d, "paper").select("arxiv_id"), cache, fixtures.fetch, "http://host/api")
+
+
+@query
+def stored_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written and read again for some chunks only."""
+    path = scratch_path(spark, "embeddings")
+    R.write_embeddings(_unit_vectors(spark, d), path)
+    some = table(spark, d, "chunk").where("id % 3 = 0").select(F.col("id").alias("chunk_id"))
+    return R.read_embeddings(spark, path, some).select("chunk_id", F.size("v").alias("numbers"))
+
+
+@query
+def published_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index published as a new version, and its postings as a reader of the current version finds them."""
+    root = scratch_path(spark, "published")
+    publish(index(spark, d), root)
+    return IndexReader(spark, root).get().postings.select("token_id", "chunk_id", "tf", "dl")
+
+
+@query
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk records as a stream into a store that is empty at first."""
+    store = scratch_path(spark, "stream-store")
+    scratch = scratch_path(spark, "stream-checkpoint")
+    arrivals = spark.readStream.schema(RECORD_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{d}/chunks.parque[t]")
+    ingest(arrivals, store, scratch).awaitTermination()
+    return _per_paper(spark.read.parquet(store))
+
+
 # --- metadata -------------------------------------------------------------
 
 

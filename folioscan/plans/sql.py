@@ -149,6 +149,10 @@ def _values(rows: list[tuple[str, ...]]) -> str:
     return ", ".join("(" + ", ".join(_quoted(x) for x in row) + ")" for row in rows)
 
 
+def _normal(a: str) -> str:
+    return f"regexp_replace(case when regexp_matches(trim({a}), 'v\\d+$') then split_part(trim({a}), 'v', 1) else trim({a}) end, '^([A-Za-z\\-]+)_(\\d{{7}})$', '\\1/\\2')"
+
+
 def expansion(of_query: bool) -> str:
     """Tokens (key, pos, t) of kept0 (key, n, t) and raw (key, low): placeholders out, variants unified, then the sorted extras."""
     bridges = hints.BRIDGES if of_query else hints.BRIDGES[:7]
@@ -237,6 +241,11 @@ def _archive_rows() -> dict[str, str]:
         "math_blocks": f"""select arxiv_id, n::int as n, block from (values ('0704.0001v1', '0', '$x$'), ('0704.0001v1', '1', '$a+b$'), ('0704.0001v1', '2', {_quoted(gather)}),
             ('0704.0001v1', '3', {_quoted(align)}), ('math_0404297', '0', '\\(c\\)')) v(arxiv_id, n, block)""",
         "archive_chunks": f"select * from (values {_values(records)}) v(arxiv_id, id, kind, text, tokens)",
+        "chunk_records": """select * from (values ('0704.0001v1', 'chunk_0', 'paragraph', 'a b', 'a b'), ('0704.0001v1', 'chunk_1', 'equation', '$x$', 'x'),
+            ('math_0404297', 'chunk_1', 'equation', '$x$', 'x')) v(arxiv_id, id, kind, text, tokens)""",
+        "oai_listing": "select * from (values ('0704.0001'), ('math/0404297')) v(arxiv_id)",
+        "atom_feed": """select * from (values ('0704.0001', 'Paper 0704.0001v2', 'A', 'math.AC', 'About 0704.0001v2', '10/0704.0001v2', 'arxiv'),
+            ('math/0404297', 'Paper math/0404297', 'A', 'math.AC', 'About math/0404297', '10/math/0404297', 'arxiv')) v(arxiv_id, title, authors, subjects, abstract, doi, source)""",
         "latex_sources": f"select '0704.0001v1' as arxiv_id, {chars} as chars, true as with_references",
         "latex_metadata": f"""select * from (values ('0704.0001v1', 'On Noetherian Rings', 'A. One|B. van Two|C. Three|D. Four', {_quoted(_ABSTRACT)}, 'offline_latex')) v(arxiv_id, title, authors, abstract, source)""",
     }
@@ -251,6 +260,12 @@ def oracle_sql() -> dict[str, str]:
             raw as (select key, lower(text) as low from c where kind is distinct from 'equation'),
             kept0 as (select key, unnest(range(len(w))) as n, unnest(w) as t from l), {expansion(False)}
             select key as chunk_id, pos::int as pos, t as token from tokens""",
+        "metadata_refresh": f"""with p as (select distinct {_normal('arxiv_id')} as asked from paper where arxiv_id is not null), m as (select distinct {_normal('arxiv_id')} as a from paper_meta where arxiv_id is not null)
+            select asked, case when asked like '%7' then 'absent' end as error from p where asked not in (select a from m)""",
+        "stored_embeddings": f"""select distinct id as chunk_id, 64::int as numbers from chunk_svd where id in (select id from chunk where id % 3 = 0) and len(v) = 64
+            and not list_contains(list_transform(v, lambda x: isnan(x)), true) and list_aggregate(list_transform(v, lambda x: abs(x)), 'sum') > 0""",
+        "published_index": f"with {INDEX} select token_id, chunk_id, tf, dl from post join len using (chunk_id)",
+        "stream_ingest": "select arxiv_id, count(distinct id) as records from chunks where arxiv_id is not null and id is not null group by 1",
         "chat_context": attached("seq"),
         "full_papers": f"select session_id as query_id, seq as paper_rank, * exclude (session_id, seq) from ({attached('-seq')})",
         "client_papers": CLIENT,

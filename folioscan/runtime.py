@@ -128,6 +128,15 @@ def generation(spark: SparkSession) -> tuple[str, int]:
     return spark.sparkContext.applicationId, _releases
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted as intermediate tables are."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _written.append(path)
+    if _keeping:
+        _kept.add(path)
+    return path
+
+
 def durable(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder, by a column's values if told so, and return a read of it.
 
@@ -135,10 +144,7 @@ def durable(df: DataFrame, label: str = "table", partition_by: str | None = None
     a recomputation of everything before it.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    _written.append(path)
-    if _keeping:
-        _kept.add(path)
+    path = scratch_path(spark, label)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
