@@ -6,12 +6,16 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from folioscan.operators.skew import met_in_blocks, salted_join
+from folioscan.operators import skew
+from folioscan.operators.skew import hot_keys, met_in_blocks, salted_join
 from folioscan.runtime import durable
 
 #: Tokens in an enumerated subset of a small set.
 SUBSET = 2
+#: Of so many sets one is looked at for shingles that very many sets hold.
+SAMPLE = 16
 
 
 def words(text: Column) -> Column:
@@ -51,15 +55,10 @@ def _boundary(sets: DataFrame) -> int:
     however large the collection): a small set costs its subsets, a large one
     the inverted lists of its prefix.
     """
-    m = F.least(F.size("pre2"), F.lit(60_000)).cast("double")
+    m = F.least("n2", F.lit(60_000)).cast("double")
     by_size = (
         sets.groupBy(F.floor(4 * F.log2("size")).alias("c"))
-        .agg(
-            F.max("size").alias("top"),
-            F.sum(m * (m - 1) / 2).alias("subsets"),
-            F.sum(F.expr("aggregate(pre1, 0D, (a, x) -> a + x.df)")).alias("lists"),
-            F.sum(F.size("pre1")).alias("entries"),
-        )
+        .agg(F.max("size").alias("top"), F.sum(m * (m - 1) / 2).alias("subsets"), F.sum("scan").alias("lists"), F.sum("n1").alias("entries"))
         .orderBy("c")
         .collect()
     )
@@ -75,6 +74,30 @@ def _boundary(sets: DataFrame) -> int:
     return at
 
 
+def _with_counts(sets: DataFrame) -> DataFrame:
+    """(id, size, h, df) for every shingle that more than one set holds, df the number of these sets.
+
+    Shingles are shuffled once, by themselves, and counted where they meet. Those
+    that very many sets hold, found on a sample of the sets by a hash of the id,
+    are kept out of that: they are counted with partial sums and the counts
+    sent to them. All counts are exact; the sample only says which way a shingle goes.
+    """
+    tokens = sets.select("id", "size", F.explode("shingles").alias("h"))
+    part = 1.0 / SAMPLE
+    drawn = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("h"))
+    hot = hot_keys(drawn.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h", hot_rows=max(1, int(skew.HOT_ROWS * part / 2)))
+    listed = hot.select("h").collect()
+    here = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    if not listed:
+        return tokens.withColumn("df", here).where("df > 1")
+    hot = F.broadcast(sets.sparkSession.createDataFrame(listed, "h long"))
+    many = tokens.join(hot, "h", "left_semi").select("id", "size", "h")
+    counts = many.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # At most HOT_KEYS counts of two numbers.
+    known = many.join(F.broadcast(counts), "h").select("id", "size", "h", "df")
+    return tokens.join(hot, "h", "left_anti").select("id", "size", "h").withColumn("df", here).unionByName(known).where("df > 1")
+
+
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, common, size_a, size_b), a < b, of distinct shingle sets with Jaccard similarity of at least threshold.
 
@@ -88,32 +111,28 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     exactly. Nothing is capped: a token, subset or set that very many others meet
     is cut by its counted rows into blocks, which meet each other in tasks of their own.
     """
-    tokens = sets.select("id", "size", F.explode("shingles").alias("h"))
-    common = durable(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-counts")
     need = _needed(F.col("size"), threshold)
     rare = F.col("size") - F.size("shared")
     ranked = (
-        salted_join(tokens, common, "h", common, count="df")
+        _with_counts(sets)
         .groupBy("id")
         .agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
         .withColumn("need", need)
-        .withColumn("pre1", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.col("need") + 1 - rare)))
-        .withColumn("pre2", F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("size") - F.col("need") + SUBSET - rare)))
-        .where(F.size("pre2") > 0)
+        .withColumn("n1", F.greatest(F.lit(0), F.least(F.size("shared"), F.col("size") - F.col("need") + 1 - rare)))
+        .withColumn("n2", F.greatest(F.lit(0), F.least(F.size("shared"), F.col("size") - F.col("need") + SUBSET - rare)))
+        .where("n2 > 0")
     )
-    ranked = durable(ranked.select("id", "size", "need", "pre1", "pre2", F.col("shared.h").alias("shared")), "ranked-sets")
+    # shared holds the hashes by rarity; the prefixes are its first n1 and n2.
+    scan = F.aggregate(F.slice("shared.df", F.lit(1), F.col("n1")), F.lit(0.0), lambda a, x: a + x)
+    ranked = durable(ranked.select("id", "size", "need", "n1", "n2", scan.alias("scan"), F.col("shared.h").alias("shared")), "ranked-sets")
     limit = _boundary(ranked)
     is_small = (F.col("size") <= limit) & (F.col("need") >= SUBSET)
 
     # Within a set both tokens of a subset are listed in the global order, so equal subsets hash alike.
-    pairs_of = F.flatten(
-        F.transform(
-            F.col("pre2"),
-            lambda x, i: F.transform(F.slice(F.col("pre2"), i + 2, F.size("pre2")), lambda y: F.xxhash64(x["h"], y["h"])),
-        )
-    )
-    subsets = ranked.where(is_small).select(F.explode(pairs_of).alias("key"), "id", "size")
-    lists = ranked.select(F.explode(F.col("pre1.h")).alias("key"), "id", "size", (~is_small).alias("large"))
+    pairs_of = F.flatten(F.transform("pre", lambda x, i: F.transform(F.slice("pre", i + 2, F.size("pre")), lambda y: F.xxhash64(x, y))))
+    small = ranked.where(is_small).select("id", "size", F.slice("shared", F.lit(1), F.col("n2")).alias("pre"))
+    subsets = small.select(F.explode(pairs_of).alias("key"), "id", "size")
+    lists = ranked.select(F.explode(F.slice("shared", F.lit(1), F.col("n1"))).alias("key"), "id", "size", (~is_small).alias("large"))
 
     def met(left: DataFrame, right: DataFrame, extra: Column) -> DataFrame:
         left, right = met_in_blocks(left, right, "key", "id")

@@ -63,14 +63,15 @@ def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _cleaned(spark: SparkSession, d: str, cleaned: bool = True) -> DataFrame:
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
     rows = _paragraphs(spark, d).where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
-    return markup.clean_texts(rows, ("id",), "text", cleaned)
+    return markup.clean_texts(rows, ("id",), "text")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """The families of the tags that the scan of the operator finds."""
-    return _cleaned(spark, d, False).select(F.col("id").alias("chunk_id"), F.explode("families").alias("family"))
+    """The families of the tags that the scan of the operator finds. Repeats drop out after it, so no text is shuffled."""
+    rows = markup.clean_texts(_paragraphs(spark, d).where("id is not null"), ("id",), "text", cleaned=False)
+    return rows.select(F.col("id").alias("chunk_id"), F.explode("families").alias("family")).distinct()
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
