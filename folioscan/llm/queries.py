@@ -16,7 +16,7 @@ from folioscan.llm.packing import pack
 from folioscan.llm.sizes import TOKEN_PATTERN, label
 from folioscan.llm.splitting import split_texts
 from folioscan.llm.term_counts import term_counts
-from folioscan.llm.vectors import VectorIndex
+from folioscan.llm.vectors import VectorIndex, compared_with_all
 from folioscan.runtime import durable, table
 
 
@@ -106,6 +106,18 @@ def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
     return near.select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The recall of nearest() for 400 ids, those of least hash, against comparing them with every vector."""
+    rows = table(spark, d, "chunk_svd")
+    index = VectorIndex(rows, "id", "v")
+    queries = durable(index.ids.orderBy(F.xxhash64("id"), "id").limit(400).select("id"), "recall-queries")
+    want = compared_with_all(index, queries).select("id", "other")
+    got = index.nearest(10, queries).select("id", "other").withColumn("hit", F.lit(1))
+    return want.join(got, ["id", "other"], "left").agg(
+        F.countDistinct("id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall")
+    )
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     return term_counts(table(spark, d, "posting"), table(spark, d, "token"))
 
@@ -207,7 +219,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_classes, p2_found, p2_pieces, p2_coverage, p3_found, p3_clean, p3_tokens, p5_found, p5_weights, p6_found, p6_nearest,
+            p1_found, p1_classes, p2_found, p2_pieces, p2_coverage, p3_found, p3_clean, p3_tokens, p5_found, p5_weights, p6_found, p6_nearest, p6_recall,
             p7_found, p7_terms, p8_found, p8_containers, p8_totals, p9_found, p9_shares, p9_budgets, p9_totals, p9_documents, p10_found, p10_shares, p10_quality, p10_calibration,
         )
     }
@@ -309,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_nearest": f"""{_UNITS} s as (select a.id as id, b.id as other, list_dot_product(a.v, b.v) as cosine from u a join u b on a.id <> b.id where a.id % 20 = 0),
             t as (select *, row_number() over (partition by id order by cosine desc, other) as r from s)
             select id, other, round(cosine, 6) as cosine, r::int as rank from t where r <= 10""",
+        "p6_recall": f"{_UNITS} n as (select least(400, count(*)) as n from u) select n as queries, 10 * n as neighbours, 1.0::double as recall from n",
         "p8_totals": f"""select count(*) as documents, sum(ceil(n / 2048.0))::bigint as pieces, sum(n)::bigint as tokens, count(*) filter (n > 2048) as split, 0::bigint as unplaced, 0::bigint as over_capacity
             from (select {_DUCK_TOKENS} as n from documents where doc_id is not null)""",
         "p9_budgets": f"{_SHARES} select * from s",

@@ -20,6 +20,8 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 FEATURES = 1 << 12
 #: Rows, at most, on which the classifier is fitted; the bound is a parameter of fit_quality.
 TRAIN_ROWS = 4_000
+#: Characters, at most, of a document that is fitted on, so that what the driver holds is bounded; longer ones are graded all the same.
+TRAIN_CHARS = 50_000
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -155,14 +157,14 @@ def in_sample(id_col: str, n_docs: int, train_rows: int) -> Column:
     return F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
 
 
-def fit_quality(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.30, train_rows: int = TRAIN_ROWS, run: int = 5) -> QualityModel:
-    """Fit the classifier on at most train_rows documents, chosen and put in order by a hash of the id.
+def fit_quality(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.30, train_rows: int = TRAIN_ROWS, run: int = 5, train_chars: int = TRAIN_CHARS) -> QualityModel:
+    """Fit the classifier on at most train_rows documents of at most train_chars characters, chosen and put in order by a hash of the id.
 
     The tables hold no quality labels, so a document is labelled by its exact
     share. A repeated id counts once, with its least text. Only the fit uses a
     sample; graded() covers all rows.
     """
-    part = docs.where(in_sample(id_col, docs.count(), train_rows) & F.col(text_col).isNotNull())
+    part = docs.where(in_sample(id_col, docs.count(), train_rows) & (F.length(text_col) <= train_chars))
     part = part.groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("text"))
     chosen = durable(part.orderBy(F.xxhash64("id"), "id").limit(train_rows), "quality-rows")
     texts = pa.array([r["text"] for r in chosen.orderBy(F.xxhash64("id"), "id").collect()], pa.string())

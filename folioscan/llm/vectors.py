@@ -589,3 +589,39 @@ class VectorIndex:
         best = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
         near = exact.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
         return self._expand(near, k, None)
+
+
+def compared_with_all(index: VectorIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(id, other, cosine, rank): the k most similar vectors of a bounded number of query ids, by comparing each with every vector; for measuring recall.
+
+    Each task compares the queries with its vectors and gives its k best; what
+    moves is k rows a query and task. Copies are put back as in the index.
+    """
+    dims = index.dims
+    asked = index.ids.join(queries.select("id").distinct(), "id", "left_semi").join(index.reps.select(F.col("id").alias("rep"), "h"), "h")
+    vectors = index.source.join(index.reps.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "v")
+    vectors = durable(vectors, "all-vectors")
+    rows = vectors.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").orderBy("id").collect()
+    ids = np.array([r["id"] for r in rows], dtype=np.int64)
+    x = np.array([r["v"] for r in rows], dtype=np.float64).reshape(-1, dims)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(own):
+                continue
+            y = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            to = batch.column("id").to_numpy()
+            score = q @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+            score[own[:, None] == to] = -3
+            wide = min(k + 1, score.shape[1])
+            at = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+            cols = np.repeat(own, wide), to[at].ravel(), np.take_along_axis(score, at, 1).ravel()
+            keep = cols[2] > -2
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["a", "b", "cosine"])
+
+    found = vectors.mapInArrow(best, "a long, b long, cosine double")
+    top = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
+    near = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).drop("r")
+    return index._expand(durable(near, "compared"), k, queries)
