@@ -81,7 +81,7 @@ def _chars(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(texts: pa.Array, coded: tuple[np.ndarray, np.ndarray, pa.Array] | None = None) -> np.ndarray:
-    """Hashed n-grams, a row a text: word 1-, 2- and 3-grams and character 8-grams, each in a bucket of its hash.
+    """Hashed n-grams, a row a text: word 2- and 3-grams and character 12-grams, each in a bucket of its hash.
 
     A bucket adds up how often its n-grams come again, as a share of the text's n-grams of that length. No feature
     looks at runs of five words, of which the label is made.
@@ -90,7 +90,7 @@ def features(texts: pa.Array, coded: tuple[np.ndarray, np.ndarray, pa.Array] | N
     stable = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words.to_pylist()], dtype=np.int64)
     x = np.zeros((len(texts), FEATURES), dtype=np.float32)
     spelled = stable[codes] if len(codes) else codes
-    for source, n in (((spelled, offsets), 1), ((spelled, offsets), 2), ((spelled, offsets), 3), (_chars(texts), 8)):
+    for source, n in (((spelled, offsets), 2), ((spelled, offsets), 3), (_chars(texts), 12)):
         key, doc = _grams(*source, n)
         if not len(key):
             continue
