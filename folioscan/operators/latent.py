@@ -29,6 +29,8 @@ def weighted_postings(index: Index, only: DataFrame | None = None) -> DataFrame:
 
 #: Rows or columns of one block of a sparse matrix, about.
 BLOCK = 20_000
+#: Tokens whose vectors one task can hold beside a block of chunks.
+WIDE = 100_000
 #: Entries whose vectors a task holds at once.
 ENTRIES = 20_000
 
@@ -59,15 +61,7 @@ def product(entries: DataFrame, table: DataFrame, row: str, col: str, rows: int,
         at = np.minimum(np.searchsorted(names, c), len(names) - 1)
         known = names[at] == c
         order = np.flatnonzero(known)[np.argsort(r[known], kind="stable")]
-        r, at, w = r[order], at[order], w[order]
-        out, start = np.unique(r, return_index=True)
-        sums = np.zeros((len(out), vectors.shape[1]))
-        slot = np.repeat(np.arange(len(out)), np.diff(np.append(start, len(r))))
-        for s in range(0, len(r), ENTRIES):
-            part = slice(s, s + ENTRIES)
-            own, first = np.unique(slot[part], return_index=True)
-            sums[own] += np.add.reduceat(w[part, None] * vectors[at[part]], first, axis=0)
-        return _rows(out, sums)
+        return _rows(*_sums(r[order], w[order], vectors, at[order]))
 
     met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(multiply, "r long, vec array<double>")
     if wide > 1:
@@ -75,6 +69,50 @@ def product(entries: DataFrame, table: DataFrame, row: str, col: str, rows: int,
     return met.withColumnRenamed("r", row)
 
 
+def _sums(r: np.ndarray, w: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of r, which is in order, and for each the sum of w times the vector at at."""
+    out, start = np.unique(r, return_index=True)
+    sums = np.zeros((len(out), vectors.shape[1]))
+    slot = np.repeat(np.arange(len(out)), np.diff(np.append(start, len(r))))
+    for s in range(0, len(r), ENTRIES):
+        part = slice(s, s + ENTRIES)
+        own, first = np.unique(slot[part], return_index=True)
+        sums[own] += np.add.reduceat(w[part, None] * vectors[at[part]], first, axis=0)
+    return out, sums
+
+
+def _squared(entries: DataFrame, basis: DataFrame, chunks: int, tokens: int) -> DataFrame:
+    """(token_id, vec): the product of the transposed matrix, the matrix and basis.
+
+    While the vectors of all tokens fit a task, each block of chunks takes both
+    steps at once and sends its sums by token; beyond, the rows between the steps become a table.
+    """
+    if tokens > WIDE:
+        image = durable(product(entries, basis, "chunk_id", "token_id", chunks, tokens), "latent-rows")
+        return product(entries, image, "token_id", "chunk_id", tokens, chunks)
+    high = -(-max(1, chunks) // BLOCK)
+    left = entries.select("chunk_id", "token_id", "w").withColumn("i", F.pmod(F.xxhash64("chunk_id"), F.lit(high)).cast("int"))
+    right = basis.select("token_id", "vec").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(high - 1))))
+
+    def both(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"r": pa.array([], pa.int64()), "vec": pa.array([], pa.list_(pa.float64()))})
+        vectors = b.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        order = np.argsort(b.column("token_id").to_numpy())
+        names, vectors = b.column("token_id").to_numpy()[order], vectors[order]
+        chunk, token, w = (a.column(x).to_numpy() for x in ("chunk_id", "token_id", "w"))
+        order = np.argsort(chunk, kind="stable")
+        ids, image = _sums(chunk[order], w[order], vectors, np.searchsorted(names, token[order]))
+        order = np.argsort(token, kind="stable")
+        return _rows(*_sums(token[order], w[order], image, np.searchsorted(ids, chunk[order])))
+
+    parts = left.groupBy("i").cogroup(right.groupBy("i")).applyInArrow(both, "r long, vec array<double>")
+    if high > 1:
+        spread = F.pmod(F.xxhash64("r"), F.lit(-(-max(1, tokens) // BLOCK) * 8)).cast("int")
+        parts = parts.withColumn("i", spread).groupBy("i").applyInArrow(_add, "r long, vec array<double>")
+    return parts.withColumnRenamed("r", "token_id")
+
+
 def _rows(ids: np.ndarray, vectors: np.ndarray) -> pa.Table:
     offsets = np.arange(len(ids) + 1, dtype=np.int32) * np.int32(vectors.shape[1])
     return pa.table({"r": pa.array(ids), "vec": pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))})
@@ -148,8 +186,7 @@ def fit_svd(index: Index, k: int = 128, fit_rows: int = 100_000, rounds: int = 4
     start = used.select("token_id", F.array(F.lit(0.0)).alias("vec"))
     basis = _map_vectors(start, "token_id", lambda keys, _: _signs(keys, width, seed))
     for _ in range(rounds):
-        image = durable(product(entries, basis, "chunk_id", "token_id", chunks, tokens), "latent-rows")
-        raw = durable(product(entries, image, "token_id", "chunk_id", tokens, chunks), "latent-columns")
+        raw = durable(_squared(entries, basis, chunks, tokens), "latent-columns")
         for _ in range(2):  # once more for the rounding of nearly dependent columns
             value, vector = np.linalg.eigh(_gram(raw, width))
             good = value > max(value.max(initial=0.0), 1e-300) * 1e-13

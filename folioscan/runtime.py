@@ -13,8 +13,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its measured row count times its row width stays below this.
+#: A side is broadcast only when its measured bytes stay below this.
 BROADCAST_LIMIT_BYTES = 8 << 20
+#: Bytes of a row in a broadcast table beside its values.
+ROW_OVERHEAD = 48
 
 _local_dirs: dict[str, str] = {}
 _written: list[str] = []
@@ -150,8 +152,8 @@ def durable(df: DataFrame, label: str = "table", partition_by: str | None = None
 
 
 def _width(df: DataFrame) -> Column:
-    """Bytes of a row as the planner would keep it: 8 a column, and what strings, binaries and arrays hold."""
-    total = F.lit(16)
+    """Bytes of a row as a broadcast table holds it: its overhead, 8 a column, and what strings, binaries and arrays hold."""
+    total = F.lit(ROW_OVERHEAD)
     for name, kind in df.dtypes:
         total = total + 8
         if kind in ("string", "binary"):
@@ -167,7 +169,7 @@ def broadcast_if_small(df: DataFrame, row_bytes: int = 0, limit: int = BROADCAST
     Rows are counted up to the limit and strings by their real lengths, each row
     as row_bytes at least. df should be cheap to count (a durable table or a plain scan).
     """
-    least = max(row_bytes, 16 + 8 * len(df.columns))
+    least = max(row_bytes, ROW_OVERHEAD + 8 * len(df.columns))
     most = max(1, limit // least)
     seen = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(F.greatest(F.lit(least), _width(df)))).first()
     return F.broadcast(df) if seen[0] <= most and (seen[1] or 0) <= limit else df

@@ -147,8 +147,9 @@ def test_latent(spark, index, monkeypatch):
         a[chunks[r.chunk_id], names[r.token_id]] = r.w
     assert np.allclose(np.linalg.norm(a, axis=1), 1)
     singular = np.linalg.svd(a)[1][:3]
-    for block, rounds in ((4, 1), (20_000, 8)):
+    for block, wide, rounds in ((4, 2, 1), (4, 100, 1), (20_000, 100, 8)):
         monkeypatch.setattr(L, "BLOCK", block)
+        monkeypatch.setattr(L, "WIDE", wide)
         components = durable(L.fit_svd(index, 3, rounds=rounds))
         got = np.zeros((len(names), 3))
         for r in components.collect():
