@@ -13,7 +13,7 @@ from folioscan.llm.distinctive import distinctive_terms
 from folioscan.llm.mixing import SourceMix
 from folioscan.llm.near_duplicates import NearDuplicates
 from folioscan.llm.packing import pack
-from folioscan.llm.sizes import TOKEN_PATTERN, label
+from folioscan.llm.sizes import label
 from folioscan.llm.splitting import split_texts
 from folioscan.llm.term_counts import term_counts
 from folioscan.llm.vectors import VectorIndex, compared_with_all
