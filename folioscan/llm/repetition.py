@@ -126,13 +126,14 @@ class QualityModel:
         w, b, step = np.full(x.shape[1], 0.1), -1.0, np.zeros(x.shape[1] + 1) + 1e-8
         balance = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) if len(y) else y
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(a @ w + b, -40, 40)))
+            # Products stay in single precision, so that the features are not copied each time.
+            p = 1 / (1 + np.exp(-np.clip(a @ w.astype(np.float32) + b, -40, 40)))
             g = (p - y) * balance
-            grad = np.append(a.T @ g + penalty * w, g.sum())
+            grad = np.append(g.astype(np.float32) @ a + penalty * w, g.sum())
             step += grad**2
             move = 0.1 * grad / np.sqrt(step)
             w, b = w - move[:-1], b - move[-1]
-        z, y = x[held] @ w + b, labels[held]
+        z, y = (x[held] @ w.astype(np.float32) + b).astype(float), labels[held]
         slope, offset = 1.0, 0.0
         # Newton steps of Platt's two parameters.
         for _ in range(50 if len(y) else 0):
