@@ -20,6 +20,8 @@ _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
 FEATURES = 1 << 12
 #: Rows, at most, on which the classifier is fitted; the bound is a parameter of fit_quality.
 TRAIN_ROWS = 4_000
+#: Characters of the texts that are worked on at once.
+SLICE_CHARS = 1_000_000
 #: Characters, at most, of a document that is fitted on, so that what the driver holds is bounded; longer ones are graded all the same.
 TRAIN_CHARS = 50_000
 
@@ -120,7 +122,7 @@ class QualityModel:
         if not len(labels):
             return cls(np.zeros(FEATURES), 0.0, 1.0, -10.0)
         held = np.random.default_rng(seed).random(len(labels)) < 0.25
-        x = np.concatenate([features(texts.slice(i, 256)) for i in range(0, len(texts), 256)])
+        x = np.concatenate([features(texts.slice(at, rows)) for at, rows in _slices(texts)])
         a, y = x[~held], labels[~held]
         # All buckets start as evidence of repetition; those of common words learn that they are none.
         w, b, step = np.full(x.shape[1], 0.1), -1.0, np.zeros(x.shape[1] + 1) + 1e-8
@@ -146,6 +148,18 @@ class QualityModel:
         return cls(w.astype(np.float32), float(b), slope, offset)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of slices of at most 256 texts and, but for a longer text on its own, SLICE_CHARS characters."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        room = np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_CHARS, side="right")
+        end = max(at + 1, min(at + 256, int(room)))
+        yield at, end - at
+        at = end
+
+
 def _shares(texts: pa.Array, run: int) -> tuple[np.ndarray, np.ndarray, tuple]:
     coded = word_codes(texts)
     flags = np.concatenate([[0], np.cumsum(repeated_positions(*coded[:2], run))])
@@ -188,8 +202,8 @@ def graded(docs: DataFrame, id_col: str, text_col: str, model: QualityModel | No
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, rows in _slices(batch.column("text")):
+                part = batch.slice(at, rows)
                 words, repeated, coded = _shares(part.column("text"), run)
                 p = shared.value.probability(part.column("text"), coded) if shared.value else None
                 yield pa.RecordBatch.from_arrays(

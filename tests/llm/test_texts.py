@@ -210,6 +210,15 @@ def test_quality_model_on_held_out_documents():
     assert rep.QualityModel.fit(pa.array([], pa.string()), np.array([])).probability(pa.array(["a"]))[0] < 0.01
 
 
+def test_slices_cover_all_texts(monkeypatch):
+    monkeypatch.setattr(rep, "SLICE_CHARS", 10)
+    texts = pa.array(["abc", None, "x" * 50, "", "defg", "hij", "k" * 4] + ["a"] * 600)
+    cuts = list(rep._slices(texts))
+    assert [a for a, _ in cuts] == [0, *np.cumsum([n for _, n in cuts])[:-1]] and sum(n for _, n in cuts) == len(texts)
+    assert all(n == 1 or sum(len(t or "") for t in texts.slice(a, n).to_pylist()) <= 10 for a, n in cuts) and max(n for _, n in cuts) <= 256
+    assert list(rep._slices(pa.array([], pa.string()))) == []
+
+
 def test_graded_rows(spark):
     rows = list(enumerate(quality_texts(2, 300))) + [(None, "x"), (5, "again"), (1000, None), (1001, "")]
     docs = spark.createDataFrame(rows, "id long, t string").selectExpr("*", "1 as words", "2 as probability", "3 as band")
