@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow.fs import FileSystem
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +29,8 @@ QUERY_ROWS = 50_000
 MAX_CELLS = 4_096
 #: Vectors of a cell that a query looks at in 8-bit steps after table scoring.
 SCREEN = 256
-#: Vectors, at most, of a group of cells that is compared with another in one task, and the groups that all are cut into before.
-GROUP_ROWS = 100_000
+#: Vectors, at most, of a block, whose neighbours one task finds, and the blocks that a smaller table is cut into.
+GROUP_ROWS = 20_000
 GROUPS = 6
 #: Candidates that a task holds before it drops those that later ones have beaten.
 POOL_ROWS = 2_000_000
@@ -217,7 +220,8 @@ class VectorIndex:
 
             schema = "id long, h long, cell int, word int, codes binary, norm float, own float, q binary, s binary"
             coded = self.source.mapInArrow(run, schema)
-            self._encoded = durable(coded.join(self.reps.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id"]), "codes")
+            # An id has one h here, so by both columns repeats drop out where the join has put them.
+            self._encoded = durable(coded.join(self.reps.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]), "codes")
         return self._encoded
 
     def candidates(self, queries: DataFrame | None, probes: int, per_cell: int, screen: int = SCREEN) -> DataFrame:
@@ -351,99 +355,89 @@ class VectorIndex:
 
         return base.unionByName(probe).groupBy("cell", "word", "part", "turn").applyInArrow(score, "a long, b long, score float")
 
+    def _blocks(self, rows: DataFrame, label: str) -> list[tuple[list[int], list[str]]]:
+        """Write rows (cell, id, ...) once, in files by block; the cells and files of every block.
+
+        A block holds cells that lie together along the widest direction of their centres, GROUP_ROWS vectors at most; a
+        fuller cell has blocks of its own.
+        """
+        sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        most = max(1, min(GROUP_ROWS, -(-sum(sizes.values()) // GROUPS)))
+        spread = self.books.coarse - self.books.coarse.mean(0)
+        along = spread @ np.linalg.svd(spread, full_matrices=False)[2][0]
+        layout, block, held = [], 0, 0
+        for c in np.argsort(along, kind="stable").tolist():
+            n = sizes.get(c, 0)
+            if not n:
+                continue
+            if held and held + n > most:
+                block, held = block + 1, 0
+            own = -(-n // most)
+            layout.append((c, block, own))
+            block, held = (block + own, 0) if own > 1 else (block, held + n)
+        if not layout:
+            return []
+        plan = F.broadcast(rows.sparkSession.createDataFrame(layout, "cell int, first int, own int"))
+        placed = rows.join(plan, "cell").withColumn("block", (F.col("first") + F.pmod("id", "own")).cast("int")).drop("first", "own")
+        files: dict[int, list[str]] = {}
+        for f in durable(placed.repartition("block"), label, "block").inputFiles():
+            files.setdefault(int(re.search(r"/block=(\d+)/", f)[1]), []).append(f)
+        cells = {b: [c for c, first, own in layout if first <= b < first + own] for b in files}
+        return [(cells[b], sorted(files[b])) for b in sorted(files)]
+
     def whole(self, k: int, least: float, floors: DataFrame | None = None) -> DataFrame:
         """(a, b): every pair in which b can be among the k best of a, with a cosine of least at least; no cell is left out unless a bound shows it may be.
 
         For all ids or, with floors (id, floor), for those ids only, each with its own cosine in place of least.
-        A vector of cell c is no farther from c's centre than from the centre of the query's cell, so it is at
-        least as far from the query as the plane halfway between the two; a cell is passed over only if that plane is
-        farther than the cosine asked for allows. What is left is compared by dot products of 16-bit steps, whose error is bounded.
-        Groups of cells meet each other in one task each, so the rows of a dense group are spread over tasks.
+        Two vectors are at least as far apart as along the line between the centres of their cells, so vectors of two cells are
+        passed over only if they are farther apart on it than the cosine asked for allows. What is left is
+        compared by dot products of 16-bit steps, whose error is bounded. The vectors are written once, in blocks; a task
+        keeps the best of one block's vectors while it reads the other blocks, so neither copies nor
+        candidates of more than one task are shuffled, and disk grows with the rows alone.
         """
         coded, shared, dims, cells = self.encoded(), self.shared, self.dims, self.cells
-        spark, all_ids = coded.sparkSession, floors is None
+        spark = coded.sparkSession
         # Rounding to 16-bit steps turns a unit vector by at most sqrt(dims) / 65,534; both may be turned, and a dot product is rounded.
         error = 2 * dims**0.5 / 65_534 + 1e-5
-        sizes = {r["cell"]: r["n"] for r in coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        rows = sum(sizes.values())
-        most = max(1, min(GROUP_ROWS, -(-rows // GROUPS)))
-        # Cells in the order of their centres along the widest direction, so that a group's cells lie together; a fuller cell has groups of its own.
-        spread = self.books.coarse - self.books.coarse.mean(0)
-        along = spread @ np.linalg.svd(spread, full_matrices=False)[2][0]
-        first, blocks, group, held = np.zeros(cells, np.int64), np.ones(cells, np.int64), 0, 0
-        for c in np.argsort(along, kind="stable").tolist():
-            n = sizes.get(c, 0)
-            if held and held + n > most:
-                group, held = group + 1, 0
-            first[c], blocks[c], held = group, -(-n // most) if n > most else 1, held + n
-            if n > most:
-                group, held = group + int(blocks[c]), 0
-        groups = group + 1
-        turns = 1 if all_ids else max(1, -(-floors.count() // GROUP_ROWS))
-        plan = spark.sparkContext.broadcast((first, blocks))
-
-        def planes(x: np.ndarray, cell: np.ndarray, to: np.ndarray) -> np.ndarray:
-            """Distance of every row from the planes halfway between the centre of its cell and those of others, 0 on the far side."""
-            c = shared.value.coarse
-            half = (c**2).sum(1) / 2
-            gap = np.sqrt(np.maximum(2 * (half[:, None] + half[to] - c @ c[to].T), 0))
-            own = half[cell] - (x * c[cell]).sum(1)
-            far = (half[to] - x @ c[to].T - own[:, None]) / np.maximum(gap[cell], 1e-2)
-            return np.where(gap[cell] > 1e-2, far, 0)
+        stored = self._blocks(coded.select("cell", "id", "s"), "blocks")
+        if floors is None:
+            asked = stored
+        else:
+            asked = self._blocks(coded.join(floors.select("id", F.col("floor").cast("double").alias("floor")), "id").select("cell", "id", "s", "floor"), "asked-blocks")
+        if not asked:
+            return spark.createDataFrame([], "a long, b long")
+        plan, all_ids = spark.sparkContext.broadcast((asked, stored)), floors is None
 
         def limit(cosine: np.ndarray) -> np.ndarray:
             return np.sqrt(np.maximum(2 - 2 * cosine, 0)) + 2e-3
 
-        def unit(column: pa.Array) -> np.ndarray:
-            x = _from_binary(column, 2 * dims, np.int8).view(np.int16).reshape(-1, dims).astype(np.float32)
-            return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-        def own_group(cell: np.ndarray, ids: np.ndarray) -> np.ndarray:
-            start, wide = plan.value
-            return start[cell] + ids % wide[cell]
-
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start, wide = plan.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, cell, floor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "cell", "floor"))
-                own = own_group(cell, ids)
-                asks = ~np.isnan(floor)
-                to = np.zeros((len(ids), groups), bool)
-                if asks.any():
-                    x = unit(batch.column("s").filter(pa.array(asks)))
-                    near = planes(x, cell[asks], np.arange(cells)) <= limit(floor[asks] - error)[:, None]
-                    some = np.zeros((len(x), groups), bool)
-                    for c in np.flatnonzero(near.any(0)):
-                        some[:, start[c] : start[c] + wide[c]] |= near[:, c, None]
-                    to[asks] = some
-                if all_ids:
-                    to[np.arange(len(ids)), own] = True
-                    row, other = np.nonzero(to)
-                    left, right = np.minimum(own[row], other), np.maximum(own[row], other)
-                    stored = (own[row] == right) & (left != right)
-                else:
-                    row, right = np.nonzero(to)
-                    left, stored = ids[row] % turns, np.zeros(len(row), bool)
-                    base = np.repeat(np.arange(len(ids)), turns)
-                    left = np.concatenate([left, np.tile(np.arange(turns), len(ids))])
-                    right, row = np.concatenate([right, own[base]]), np.concatenate([row, base])
-                    stored = np.concatenate([stored, np.ones(len(base), bool)])
-                take = pa.array(row)
-                cols = [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(stored)]
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, *(batch.column(c).take(take) for c in ("id", "cell", "floor", "s"))], names=["left", "right", "stored", "id", "cell", "floor", "s"]
-                )
-
-        def side(parts: list[pa.RecordBatch], stored: bool) -> tuple:
-            held = [b.filter(b.column("stored") if stored else pc.invert(b.column("stored"))) for b in parts]
-            ids, cell, floor = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("id", "cell", "floor"))
-            x = np.concatenate([unit(b.column("s")) for b in held])
-            order = np.argsort(cell, kind="stable")
-            ids, cell, floor, x = ids[order], cell[order], floor[order], x[order]
-            names, at = np.unique(cell, return_index=True)
-            return ids, cell, floor.astype(np.float32) - np.float32(error), x, names, np.append(at, len(ids))
+        class Side:
+            """The vectors of a block in the order of their cells, and where each cell begins."""
+
+            def __init__(self, files: list[str], with_floor: bool = False):
+                parts = []
+                for f in files:
+                    system, path = FileSystem.from_uri(f)
+                    with system.open_input_file(path) as source:
+                        parts.append(ParquetFile(source).read(["id", "cell", "s", *["floor"] * with_floor]))
+                held = pa.concat_tables(parts).combine_chunks()
+                cell = held.column("cell").to_numpy()
+                order = np.argsort(cell, kind="stable")
+                x = _from_binary(held.column("s").chunk(0), 2 * dims, np.int8).view(np.int16).reshape(-1, dims)[order].astype(np.float32)
+                self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                self.ids, self.cell = held.column("id").to_numpy()[order], cell[order]
+                self.names, start = np.unique(self.cell, return_index=True)
+                self.at = np.append(start, len(order))
+                self.own = (self.x * shared.value.coarse[self.cell]).sum(1)
+                self.floor = held.column("floor").to_numpy()[order] if with_floor else np.full(len(order), least)
+
+            def planes(self, to: np.ndarray, rows: slice = slice(None)) -> np.ndarray:
+                """Distance of every row from the planes halfway between the centre of its cell and those of others, below 0 beyond them; 0 if the centres are as good as one."""
+                c, cell = shared.value.coarse, self.cell[rows]
+                half = (c**2).sum(1) / 2
+                gap = np.sqrt(np.maximum(2 * (half[self.names][:, None] + half[to] - c[self.names] @ c[to].T), 0))[np.searchsorted(self.names, cell)]
+                far = half[to] - half[cell][:, None] - self.x[rows] @ c[to].T + self.own[rows][:, None]
+                return np.where(gap > 1e-2, far / np.maximum(gap, 1e-2), 0)
 
         class Pool:
             """The best of every row so far; floor rises to what a row's k-th best allows."""
@@ -475,55 +469,50 @@ class VectorIndex:
                 self.held = int(keep.sum())
                 return self.parts[0]
 
-        def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [b for b in batches if b.num_rows]
-            same = all_ids and key[0].as_py() == key[1].as_py()
-            xs = side(parts, False)
-            ys = xs if same else side(parts, True)
-            (xid, xcell, xfloor, x, xnames, xat), (yid, ycell, yfloor, y, ynames, yat) = xs, ys
-            if not len(xid) or not len(yid):
-                return
-            px = Pool(xfloor.copy())
-            py = px if same else Pool(yfloor.copy())
-            if all_ids:
-                back = np.concatenate([planes(y[i : i + 8192], ycell[i : i + 8192], xnames) <= limit(yfloor[i : i + 8192])[:, None] for i in range(0, len(y), 8192)])
-            for i in range(len(xnames)):
-                for lo in range(xat[i], xat[i + 1], 2048):
-                    hi = min(lo + 2048, xat[i + 1])
-                    there = planes(x[lo:hi], xcell[lo:hi], ynames) <= limit(xfloor[lo:hi])[:, None]
-                    for j in np.flatnonzero(there.any(0)):
-                        if same and ynames[j] < xnames[i]:
-                            continue
-                        rx = lo + np.flatnonzero(there[:, j])
-                        ry = np.arange(yat[j], yat[j + 1])
-                        if all_ids:
-                            ry = ry[back[ry, i]]
-                        for part in range(0, len(ry), 4096):
-                            cols = ry[part : part + 4096]
-                            dots = x[rx] @ y[cols].T
-                            inner = same and ynames[j] == xnames[i]
-                            if inner or not all_ids:
-                                dots[xid[rx][:, None] == yid[cols]] = -2
-                            high = dots.max(1) >= px.floor[rx]
-                            if high.any():
-                                px.add(rx[high], dots[high], cols)
-                            if all_ids and not inner:
-                                high = dots.max(0) >= py.floor[cols]
-                                if high.any():
-                                    py.add(cols[high], np.ascontiguousarray(dots[:, high].T), rx)
-            for pool, own, other in ((px, xid, yid), (py, yid, xid))[: 2 if all_ids and not same else 1]:
-                row, to, value = pool.shrink()
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(other[to]), pa.array(value)], names=["a", "b", "score"])
-
-        floor = coded.withColumn("floor", F.lit(float(least))) if all_ids else coded.join(floors.select("id", "floor"), "id", "left")
-        sent = floor.select("id", "cell", F.col("floor").cast("double").alias("floor"), "s").mapInArrow(
-            send, "left int, right int, stored boolean, id long, cell int, floor double, s binary"
-        )
-        found = sent.groupBy("left", "right").applyInArrow(compare, "a long, b long, score float")
-        top = Window.partitionBy("a")
-        ranked = found.withColumn("r", F.row_number().over(top.orderBy(F.col("score").desc(), "b")))
-        kth = F.coalesce(F.max(F.when(F.col("r") == k, F.col("score"))).over(top), F.lit(-3.0))
-        return ranked.withColumn("kth", kth).where(F.col("score") >= F.col("kth") - 2 * error).select("a", "b")
+        def meet(xs: Side, ys: Side, pool: Pool) -> None:
+            """Compare the rows of two blocks, cell by cell."""
+            # How far beyond the plane a row's neighbours may lie, and how far the others do.
+            room = limit(pool.floor)[:, None] - xs.planes(ys.names)
+            away = ys.planes(xs.names)
+            some = np.maximum.reduceat(room, xs.at[:-1], axis=0) >= np.minimum.reduceat(away, ys.at[:-1], axis=0).T
+            for i, j in np.argwhere(some):
+                rows, cols = np.arange(xs.at[i], xs.at[i + 1]), np.arange(ys.at[j], ys.at[j + 1])
+                free, off = room[rows, j], away[cols, i]
+                rows, cols = rows[free >= off.min()], cols[off <= free.max()]
+                rows, cols = rows[np.argsort(-room[rows, j], kind="stable")], cols[np.argsort(away[cols, i], kind="stable")]
+                free, off, y = room[rows, j], away[cols, i], ys.x[cols]
+                strip = max(128, min(2048, len(rows) // 8))
+                for lo in range(0, len(rows), strip):
+                    row = rows[lo : lo + strip]
+                    x, end = xs.x[row], int(np.searchsorted(off, free[lo], "right"))
+                    for part in range(0, end, 4096):
+                        upto = min(part + 4096, end)
+                        dots = x @ y[part:upto].T
+                        if xs.names[i] == ys.names[j]:
+                            dots[xs.ids[row][:, None] == ys.ids[cols[part:upto]]] = -2
+                        high = dots.max(1) >= pool.floor[row]
+                        if high.any():
+                            pool.add(row[high], dots[high], ys.ids[cols[part:upto]])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asks, others = plan.value
+            for batch in batches:
+                for number in batch.column("id").to_pylist():
+                    xs = Side(asks[number][1], not all_ids)
+                    pool = Pool(xs.floor.astype(np.float32) - np.float32(error))
+                    # No vector lies beyond the planes around its own cell by more than rounding.
+                    reach = np.zeros(cells, bool)
+                    for lo in range(0, len(xs.x), 2048):
+                        rows = slice(lo, lo + 2048)
+                        reach |= (xs.planes(np.arange(cells), rows) <= limit(pool.floor[rows])[:, None] + 1e-3).any(0)
+                    # The nearest blocks first, so that floors rise early.
+                    for b in sorted(range(len(others)), key=lambda b: abs(b - number)):
+                        if reach[others[b][0]].any():
+                            meet(xs, xs if all_ids and b == number else Side(others[b][1]), pool)
+                    row, to, value = pool.shrink()
+                    yield pa.RecordBatch.from_arrays([pa.array(xs.ids[row]), pa.array(to)], names=["a", "b"])
+
+        return spark.range(0, len(asked), 1, len(asked)).mapInArrow(compare, "a long, b long")
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """(a, b, cosine) of pairs (a, b) of searched ids, from the stored vectors."""

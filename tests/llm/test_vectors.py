@@ -102,3 +102,24 @@ def test_full_cells_lose_nothing(spark, monkeypatch):
     sims, top = exact(x, 10)
     assert {(r.id, r.other) for r in index.nearest(10).collect()} == {(i, j) for i in range(len(x)) for j in top[i].tolist()}
     assert {(r.id, r.other) for r in index.close(0.9).collect()} == {(i, j) for i in range(len(x)) for j in top[i].tolist() if sims[i, j] >= 0.9}
+
+
+def shuffled_rows(spark):
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_many_blocks_are_compared_without_copies(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 60)
+    x = data(3000, dims=32, seed=4)
+    x[:1000] = x[0] / np.linalg.norm(x[0]) + 0.05 * np.random.default_rng(2).normal(size=(1000, 32))
+    index = VectorIndex(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA), "id", "v", dims=32, cell_rows=15)
+    sims, top = exact(x, 10)
+    index.encoded().count()
+    before = shuffled_rows(spark)
+    pairs = {(r.a, r.b) for r in index.whole(10, 0.9).collect()}
+    assert shuffled_rows(spark) - before < 2 * len(x), "with 50 blocks or more a vector is sent once"
+    want = {(i, j) for i in range(len(x)) for j in top[i].tolist() if sims[i, j] >= 0.9}
+    assert want <= pairs and len(pairs) < 1.1 * len(want)
+    assert {(r.id, r.other) for r in index.close(0.9).collect()} == want
