@@ -6,7 +6,7 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -224,16 +224,35 @@ def content_region(bare: str, tags: list[tuple[int, int, str, str]], score: dict
 
 
 # Elements and wiki parts that are no text where they stand around the region, and those that are none anywhere.
-_MENUS = re.compile(r"<(a|nav|form|button|select|noscript)\b[^>]*>.*?</\1\s*>", re.I | re.S)
-_NEVER = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>", re.I | re.S)
+_MENUS = re.compile(r"<(a|nav|form|button|select|noscript)\b[^>]*>", re.I)
+_NEVER = re.compile(r"<(script|style)\b[^>]*>", re.I)
+_PRE, _CODE = (re.compile(rf"<({name})\b[^>]*>", re.I) for name in ("pre", "code"))
 _MENU_LINK = re.compile(r"^[ \t]*(?:[-+*|][ \t]*)?(?:!?\[[^\[\]\n]+\]\([^()\s]+\)[ \t|·,]*)+$", re.M)
 
 
+def _replaced(s: str, opening: re.Pattern, put: Callable[[str], str], closing: str = r"</{}\s*>") -> str:
+    """s with put(inner) for every part from an opening, whose first group is its name, to the next closing of that name.
+
+    A name that has no closing any more is not looked for again, so many that are left open take no more than a pass.
+    """
+    out, at, pos, lost = [], 0, 0, set()
+    while m := opening.search(s, pos):
+        name = m[1].lower()
+        end = None if name in lost else re.compile(closing.format(name), opening.flags & re.I).search(s, m.end())
+        if end is None:
+            lost.add(name)
+            pos = m.start() + 1
+        else:
+            out += [s[at : m.start()], put(s[m.end() : end.start()])]
+            at = pos = end.end()
+    return "".join([*out, s[at:]])
+
+
 def without_menus(bare: str, region: tuple[int, int]) -> str:
     """bare without links, menus and forms before and after the region. All other words stay, wherever they stand."""
 
     def bared(part: str) -> str:
-        return _MENU_LINK.sub("", _MENUS.sub(" ", part))
+        return _MENU_LINK.sub("", _replaced(part, _MENUS, lambda _: " "))
 
     lo, hi = region
     # A tag that the border cuts in two belongs to the region.
@@ -245,13 +264,13 @@ _BLOCK = re.compile(r"<(/?)(h[1-6]|p|div|ul|ol|li|tr|td|th|table|br|hr|blockquot
 
 
 def _from_html(s: str, held: Held) -> str:
-    s = _NEVER.sub(" ", re.sub(_COMMENT, " ", s, flags=re.S))
+    s = _replaced(re.sub(_COMMENT, " ", s, flags=re.S), _NEVER, lambda _: " ")
 
-    def verbatim(m: re.Match) -> str:
-        return "\n" + held.put("```\n" + html.unescape(re.sub(_TAG, "", m[1], flags=re.I | re.S)).strip("\n") + "\n```") + "\n"
+    def bare(code: str) -> str:
+        return html.unescape(re.sub(_TAG, "", code, flags=re.I | re.S))
 
-    s = re.sub(r"<pre\b[^>]*>(.*?)</pre\s*>", verbatim, s, flags=re.I | re.S)
-    s = re.sub(r"<code\b[^>]*>(.*?)</code\s*>", lambda m: held.put("`" + html.unescape(re.sub(_TAG, "", m[1], flags=re.I | re.S)) + "`"), s, flags=re.I | re.S)
+    s = _replaced(s, _PRE, lambda code: "\n" + held.put("```\n" + bare(code).strip("\n") + "\n```") + "\n")
+    s = _replaced(s, _CODE, lambda code: held.put("`" + bare(code) + "`"))
     first = True
 
     def block(m: re.Match) -> str:
@@ -330,12 +349,12 @@ _TEX_PIECE = re.compile(
     r"\\item\b(?:\[(?P<label>[^\]\n]*)\])?[ \t]*|\\(?P<env>begin|end)\s*\{(?P<name>[^{}\n]*)\}(?:\[[^\]\n]*\])?"
     r"|\\(?P<command>[A-Za-z@]+)\*?(?:\[[^\]\n]*\])?(?P<brace>\{)?[ \t]*|\\(?P<escaped>[%&#_$~{}])|(?P<open>\{)|(?P<close>\})|(?P<text>[^\\{}]+|\\)"
 )
-_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting)\*?\}(?:\[[^\]\n]*\])?\n?(.*?)\\end\{\1\*?\}", re.S)
+_VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting)\*?\}(?:\[[^\]\n]*\])?\n?")
 
 
 def _from_latex(s: str, held: Held) -> str:
     """One scan with a stack of open braces, so arguments may be nested to any depth."""
-    s = _VERBATIM.sub(lambda m: "\n" + held.put("```\n" + m[2].rstrip("\n") + "\n```") + "\n", s)
+    s = _replaced(s, _VERBATIM, lambda code: "\n" + held.put("```\n" + code.rstrip("\n") + "\n```") + "\n", r"\\end\{{{}\*?\}}")
     s = re.sub(r"\\verb\*?([^A-Za-z\s*])(.*?)\1", lambda m: held.put("`" + m[2] + "`"), s)
     out: list[str] = []
     # For each open brace what its close gives, and how much was there before an argument that goes.

@@ -69,9 +69,9 @@ def _cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """The families of the tags that the scan of the operator finds. Repeats drop out after it, so no text is shuffled."""
-    rows = markup.clean_texts(_paragraphs(spark, d).where("id is not null"), ("id",), "text", cleaned=False)
-    return rows.select(F.col("id").alias("chunk_id"), F.explode("families").alias("family")).distinct()
+    """The whole operator, scan, content region and clean form, on one text a chunk; last of all, the families of the tags that the scan found."""
+    rows = _cleaned(spark, d).where("clean_text is not null and size(families) > 0")
+    return rows.select(F.col("id").alias("chunk_id"), F.explode("families").alias("family"))
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioscan.llm import markup, repetition as rep
+from folioscan.llm import markup, queries, repetition as rep
 from folioscan.llm.splitting import BOUNDARY, TOKEN, cut, split_texts
 
 PROSE = st.text(alphabet="ab .!\n\\;é\U0001d54f", max_size=400)
@@ -229,3 +230,20 @@ def test_graded_rows(spark):
     assert len(out) == len(rows) and out["probability"].between(0, 1).all() and set(out["band"]) <= {"clean", "doubtful", "repetitive"}
     empty = docs.where("false")
     assert rep.graded(empty, "id", "t", rep.fit_quality(empty, "id", "t")).count() == 0
+
+
+def test_marks_left_open_take_one_pass():
+    for mark in ("<a>", "<nav>", "<pre>", "<code>", "<script>", "\\begin{verbatim}"):
+        began = time.process_time()
+        out = markup.clean(f"{mark}x " * 20_000)[1]
+        assert len(re.findall(r"\bx\b", out)) == 20_000 and time.process_time() - began < 5, mark
+    assert markup.clean("<b>a</b> <pre>p <code>c</code> z")[1] == "a p `c` z"
+
+
+def test_p3_found_takes_the_whole_operator_on_one_text_a_chunk(spark, tmp_path):
+    rows = [(1, " Paragraph", "<b>x</b>"), (1, "paragraph", "**x** y"), (2, "paragraph", r"\emph{a} [[b|c]]"), (2, "paragraph", r"\emph{a} [[b|c]]")]
+    rows += [(3, "equation", "<b>x</b>"), (4, "paragraph", None), (None, "paragraph", "<b>x</b>"), (5, "paragraph", "plain"), (6, "paragraph", "<br>")]
+    spark.createDataFrame(rows, "id long, kind string, text string").write.parquet(f"{tmp_path}/chunk.parquet")
+    found = queries.p3_found(spark, str(tmp_path))
+    assert sorted((r.chunk_id, r.family) for r in found.collect()) == [(1, "markdown"), (2, "latex"), (2, "wiki"), (6, "html")]
+    assert "clean_text" in found._jdf.queryExecution().optimizedPlan().toString(), "the region and the clean form come before the families"
