@@ -61,3 +61,30 @@ def test_rag_context_in_blocks(index, batch, monkeypatch):
 def test_no_query_in_blocks(index, batch, monkeypatch):
     monkeypatch.setattr(S, "ROW_MATCHES", -1)
     assert C.rag_context(index, batch.where("query_id = 'unknown'")).count() == 0
+    assert S.search(index, batch.where("query_id = 'unknown'")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "options",
+    [{"scoring": "bm25", "per_paper_k": 2, "top_k": 9}, {"max_candidates": 100, "offset": 30, "top_k": 5}, {"two_pass": True, "two_pass_top": 12}],
+    ids=str,
+)
+def test_search_in_blocks(index, batch, monkeypatch, options):
+    o = S.SearchOptions(no_filter=True, **options)
+    want, got = in_blocks(monkeypatch, lambda: S.search(index, batch, o))
+    assert got == want and len(got) > 90
+
+
+def test_more_tokens_than_a_scan_can_list(index, batch, monkeypatch):
+    monkeypatch.setattr(S, "LOOKUP_TOKENS", 2)
+    want, got = in_blocks(monkeypatch, lambda: S.search(index, batch, S.SearchOptions(no_filter=True, top_k=3)))
+    assert got == want and len(got) > 60
+
+
+def test_only_what_can_rank_leaves_a_block(index, batch, monkeypatch):
+    """No row for each candidate is made where a few rows of a block are all that can come out."""
+    o = S.SearchOptions(no_filter=True, top_k=2).clamped()
+    vectors = durable(S.query_vectors(index, batch, o), "vectors")
+    monkeypatch.setattr(S, "ROW_MATCHES", 0)
+    assert S.scored(index, vectors, o, cut=True).groupBy("query_id").count().where("count > 2").isEmpty()
+    assert S.scored(index, vectors, o).groupBy("query_id").count().where("count > 90").count() > 10
