@@ -88,3 +88,8 @@ def test_only_what_can_rank_leaves_a_block(index, batch, monkeypatch):
     monkeypatch.setattr(S, "ROW_MATCHES", 0)
     assert S.scored(index, vectors, o, cut=True).groupBy("query_id").count().where("count > 2").isEmpty()
     assert S.scored(index, vectors, o).groupBy("query_id").count().where("count > 90").count() > 10
+
+
+def test_prompts_in_blocks(index, batch, monkeypatch):
+    want, got = in_blocks(monkeypatch, lambda: C.prompts(C.rag_context(index, batch, 12, 3, 2), batch))
+    assert got == want and len(got) == 25 and all(r.prompt.count("[Source ") for r in got)
